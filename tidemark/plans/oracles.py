@@ -528,3 +528,23 @@ ORACLES["run_status"] = f"""WITH {_RUNS}
 SELECT id, status, {_time("finished_at")} AS finished_at,
   round({_minutes(AS_OF)}, 1) AS minutes_since_last_success
 FROM (SELECT * FROM runs ORDER BY started_at DESC LIMIT 1)"""
+
+ORACLES["ingest_stream_clean"] = f"""WITH {_CLEAN}
+SELECT unique_key, {_time("c.created_date")} AS created_date, complaint_type_norm, borough, address_norm,
+  defect_count, is_duplicate_of FROM clean c"""
+ORACLES["ingest_stream_failures"] = f"""WITH {_FEED}
+SELECT unique_key, rule, severity, detail, field_value FROM failures WHERE unique_key IS NOT NULL"""
+ORACLES["ingest_stream_daily"] = ORACLES["daily_rollup"]
+ORACLES["ingest_stream_raw"] = f"""WITH {_FEED}
+SELECT unique_key, address_raw AS incident_address, {_time("b.source_updated_at")} AS source_updated_at,
+  CAST(1 AS BIGINT) AS seen_count
+FROM batch b WHERE unique_key IS NOT NULL AND failure_count > 0"""
+ORACLES["ingest_stream_quality"] = f"""WITH {_DAILY}
+SELECT 'success' AS status, (SELECT count(*) FROM feed) AS rows_fetched,
+  (SELECT count(*) FROM accepted) AS rows_inserted, (SELECT count(*) FROM batch WHERE is_rejected) AS rows_rejected,
+  (SELECT count(*) FROM accepted WHERE failure_count > 0) AS rows_flagged,
+  (SELECT count(*) FROM clean) AS clean_rows,
+  (SELECT count(*) FROM links) AS duplicate_rows,
+  (SELECT count(*) FROM clean WHERE defect_count > 0) AS defective_rows,
+  (SELECT count(*) FROM batch WHERE unique_key IS NOT NULL AND failure_count > 0) AS raw_rows,
+  (SELECT count(*) FROM daily) AS agg_rows, (SELECT CAST(min(day) AS VARCHAR) FROM daily) AS agg_since"""

@@ -19,6 +19,8 @@ from tidemark.operators.standardize import canonicalize_category, standardize
 from tidemark.plans import derived, reports
 from tidemark.schema import RUN_COUNTERS
 from tidemark.sources import feed
+from tidemark.sources.snapshots import SnapshotStore
+from tidemark.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -637,3 +639,75 @@ def run_status(spark, sf_dir):
     return reports.status(_runs(spark, sf_dir), derived.as_of()).select(
         "id", "status", when_text("finished_at").alias("finished_at"), "minutes_since_last_success"
     )
+
+
+# ---- the whole run -------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """A store filled by streaming the landed feed, written as one folder of JSON per day."""
+    key = (spark.sparkContext.applicationId, sf_dir, "stream")
+    if key not in derived._written:
+        rows = derived.landed(spark, sf_dir)
+        fields = rows.drop("event_id", "ts").columns
+        landing = new_run_dir(spark, "landing")
+        rows.select(
+            F.to_json(F.struct(*fields)).alias("value"), F.to_date("ts").alias("landed_on")
+        ).write.partitionBy("landed_on").text(landing)
+        files = spark.read.text(landing).select("_metadata.file_path").distinct().count()
+        # Two micro-batches at any size, so that links and days span batches.
+        cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=max(1, (files + 1) // 2))
+        root = new_run_dir(spark, "store")
+        ingest.run_stream(SnapshotStore(spark, root), landing, cfg)
+        derived._written[key] = root
+    return SnapshotStore(spark, derived._written[key])
+
+
+@query
+def ingest_stream_clean(spark, sf_dir):
+    return _streamed(spark, sf_dir).read("clean").select(
+        "unique_key",
+        when_text("created_date").alias("created_date"),
+        "complaint_type_norm",
+        "borough",
+        "address_norm",
+        F.col("defect_count").cast("bigint").alias("defect_count"),
+        "is_duplicate_of",
+    )
+
+
+@query
+def ingest_stream_failures(spark, sf_dir):
+    return _streamed(spark, sf_dir).read("failures").select(
+        "unique_key", "rule", "severity", "detail", "field_value"
+    )
+
+
+@query
+def ingest_stream_daily(spark, sf_dir):
+    return _day_text(_streamed(spark, sf_dir).read("daily").drop("part", "computed_at"))
+
+
+@query
+def ingest_stream_raw(spark, sf_dir):
+    return _streamed(spark, sf_dir).read("raw").select(
+        "unique_key",
+        F.get_json_object("payload", "$.incident_address").alias("incident_address"),
+        when_text("source_updated_at").alias("source_updated_at"),
+        "seen_count",
+    )
+
+
+@query
+def ingest_stream_quality(spark, sf_dir):
+    """Counters of the latest run next to the store totals, from the quality report."""
+    store = _streamed(spark, sf_dir)
+    names = ("clean", "raw", "failures", "daily", "runs")
+    report = reports.quality_report(
+        spark, {n: store.read(n) for n in names}, derived.as_of() + F.expr("INTERVAL 1 HOUR")
+    )
+    run = report["latest_run"].select(
+        "status", "rows_fetched", "rows_inserted", "rows_rejected", "rows_flagged"
+    )
+    totals = report["totals"].withColumn("agg_since", F.col("agg_since").cast("string"))
+    return run.join(totals, how="left")

@@ -98,3 +98,14 @@ RUNS_SCHEMA = (
     + ", ".join(f"{c} BIGINT" for c in RUN_COUNTERS)
     + ", duration_seconds DOUBLE, error STRING"
 )
+
+QUARANTINE_SCHEMA = "payload STRING, source_updated_at TIMESTAMP, ingest_run_id BIGINT, detected_at TIMESTAMP"
+
+STORED_TABLES = {
+    "clean": CLEAN_SCHEMA,
+    "raw": RAW_SCHEMA,
+    "failures": FAILURES_SCHEMA,
+    "quarantine": QUARANTINE_SCHEMA,
+    "daily": DAILY_SCHEMA,
+    "runs": RUNS_SCHEMA,
+}
