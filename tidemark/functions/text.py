@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +18,9 @@ _SPACE = r"[\s\x{1c}-\x{1f}]"
 _UNTIDY = r"^ | $|  |[^ -~\x{a1}-\x{167f}]"
 
 
-def literal_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
+def literal_map(pairs: list[tuple[str, str]]) -> Column:
+    """A constant map, written as SQL text so that building it is one call."""
+    return F.expr("map(" + ", ".join(f"'{text}'" for pair in pairs for text in pair) + ")")
 
 
 def strip(c: Column) -> Column:

@@ -9,11 +9,13 @@ from tidemark import fixed_values as fixed
 
 
 def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A table written out in the plan itself: known size, no job, no Python data source."""
-    structs = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A table written out in the plan itself: its size is known and reading it takes no job."""
+
+    def text(value) -> str:
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    values = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def category_table(spark: SparkSession) -> DataFrame:

@@ -256,20 +256,14 @@ def rule_counts(validated: DataFrame) -> DataFrame:
 
     Counts the check columns directly: one row per task is shuffled, nothing is exploded.
     """
-    columns = check_columns(validated)
+    columns = ", ".join(check_columns(validated))
     names = fixed.rules()
     counts = validated.agg(
-        *[
-            F.count_if(reduce(or_, [F.col(c).eqNullSafe(name) for c in columns])).alias(name)
-            for name, _, _ in names
-        ]
+        *[F.expr(f"count_if('{name}' IN ({columns}))").alias(name) for name, _, _ in names]
     )
     rows = [
-        F.struct(
-            F.lit(name).alias("rule"),
-            F.lit(severity).alias("severity"),
-            F.lit(i).alias("ord"),
-            F.col(name).alias("failures"),
+        F.expr(
+            f"named_struct('rule', '{name}', 'severity', '{severity}', 'ord', {i}, 'failures', {name})"
         )
         for i, (name, severity, _) in enumerate(names)
     ]
