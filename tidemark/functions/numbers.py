@@ -33,7 +33,7 @@ def number_text(c: Column) -> Column:
         mantissa,
         F.lit("e"),
         F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.format_string("%02d", F.abs(exponent)),
     )
     plain = F.regexp_replace(
         java.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1"

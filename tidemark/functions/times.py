@@ -22,7 +22,12 @@ def read_iso(t: Column) -> Column:
         .when(t.endswith("Z") | F.substring(t, -6, 1).isin("+", "-"), F.lit(""))
         .otherwise(F.lit("Z"))
     )
-    return F.when(t.rlike(_ISO), F.concat(t, zone).try_cast("timestamp"))
+    # The cast wants seconds in front of an offset.
+    to_second = F.when(
+        F.substring(t, 17, 1).isin("", "Z", "+", "-") & (F.length(t) > 10),
+        F.concat(F.substring(t, 1, 16), F.lit(":00"), F.substring(t, 17, 32)),
+    ).otherwise(t)
+    return F.when(t.rlike(_ISO), F.concat(to_second, zone).try_cast("timestamp"))
 
 
 def parse_time(t: Column) -> Column:

@@ -36,15 +36,13 @@ def read_boundaries(spark: SparkSession, path: str, expected: int | None = 5) ->
     outer = F.get("polygon", F.lit(0))
     ring = F.transform(outer, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
     # A borough keeps the place of its first feature; its own polygons follow file order.
-    first = exploded.groupBy("borough").agg(F.min("feature").alias("first"))
+    first = exploded.groupBy("borough").agg(F.min("feature").cast("bigint").alias("first"))
     out = (
         exploded.where(F.size(outer) > 0)
         .join(F.broadcast(first), "borough")
         .select(
             "borough",
-            (F.col("first") * 1_000_000_000 + F.col("feature") * 10_000 + F.col("part"))
-            .cast("bigint")
-            .alias("ord"),
+            F.expr("first * 1000000000000 + feature * 1000000L + part").alias("ord"),
             ring.alias("ring"),
         )
     )
