@@ -175,6 +175,27 @@ def test_extra_checks(spark):
     assert row["is_rejected"] and row["defect_count"] == 1
 
 
+def test_polygon_rule(spark):
+    feed = spark.createDataFrame([tuple(GOOD.values())], ", ".join(f"{c} string" for c in GOOD))
+
+    def failures(found, **change):
+        records = standardize(feed).withColumn("found_borough", F.lit(found).cast("string"))
+        records = records.withColumns({k: F.lit(v) for k, v in change.items()})
+        return [tuple(f) for f in V.validate(records, now()).first()["failures"]]
+
+    assert failures("QUEENS") == [
+        (
+            "borough_geo_conflict",
+            "flag",
+            "borough is BROOKLYN but the coordinates fall in QUEENS",
+            "BROOKLYN/40.6626,-73.98",
+        )
+    ]
+    assert failures("BROOKLYN") == [] and failures(None) == []
+    # A ZIP conflict is reported alone.
+    assert [f[0] for f in failures("QUEENS", borough="BRONX")] == ["borough_zip_conflict"]
+
+
 def test_malformed_rows_never_fail(spark):
     from tidemark.sources.feed import parse_payloads
 

@@ -24,7 +24,9 @@ def literal_map(pairs: list[tuple[str, str]]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(WHITE_SPACE))
+    """No white space at the ends. Text that starts and ends in plain ASCII is passed on as it is."""
+    tidy = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(tidy, c).otherwise(F.trim(c, F.lit(WHITE_SPACE)))
 
 
 def collapse_spaces(c: Column) -> Column:

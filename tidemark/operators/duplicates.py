@@ -130,6 +130,18 @@ def cluster_sizes(links: DataFrame) -> DataFrame:
     return links.groupBy("duplicate_of").agg(F.count(F.lit(1)).alias("absorbed"))
 
 
+def candidates(
+    records: DataFrame,
+    as_of: Column,
+    days: int,
+    group: tuple[str, ...] = GROUP,
+    time: str = "created_date",
+) -> DataFrame:
+    """Records of the last ``days`` days that have a group."""
+    named = reduce(and_, [F.col(c).isNotNull() for c in group])
+    return records.where(named & (F.col(time) >= as_of - F.make_dt_interval(F.lit(days))))
+
+
 def sweep_windows(
     records: DataFrame,
     windows: list[int],

@@ -316,19 +316,24 @@ ORACLES["cluster_sizes"] = (
     f"WITH {_EVENTS}," + _links("links", "keyed", "event_type, user_id", "ts", "event_key", 1440)
     + " SELECT duplicate_of, count(*) AS absorbed FROM links GROUP BY 1"
 )
-ORACLES["dedup_window_sweep"] = (
-    f"WITH {_EVENTS},"
-    + ",".join(
-        _links(f"w{m}", "keyed", "event_type, user_id", "ts", "event_key", m) for m in SWEEP_MINUTES
-    )
-    + " UNION ALL ".join(
+
+
+def _sweep(source: str, group: str, time: str, key: str) -> str:
+    return ",".join(_links(f"w{m}", source, group, time, key, m) for m in SWEEP_MINUTES) + " UNION ALL ".join(
         f"""
-SELECT {m} AS window_minutes, (SELECT count(*) FROM keyed) AS candidates, count(*) AS collapsed,
-  round(100.0 * count(*) / (SELECT count(*) FROM keyed), 2) AS collapsed_pct,
+SELECT {m} AS window_minutes, (SELECT count(*) FROM {source}) AS candidates, count(*) AS collapsed,
+  round(100.0 * count(*) / (SELECT count(*) FROM {source}), 2) AS collapsed_pct,
   coalesce((SELECT max(n) + 1 FROM (SELECT count(*) AS n FROM w{m} GROUP BY duplicate_of)), 0) AS largest_cluster
 FROM w{m}"""
         for m in SWEEP_MINUTES
     )
+
+
+ORACLES["dedup_window_sweep"] = f"WITH {_EVENTS}," + _sweep("keyed", "event_type, user_id", "ts", "event_key")
+ORACLES["dedup_sweep_recent"] = (
+    f"WITH {_FEED}, recent AS (SELECT * FROM accepted WHERE complaint_type_norm IS NOT NULL "
+    f"AND address_norm IS NOT NULL AND created_date >= {AS_OF} - INTERVAL 20 DAY),"
+    + _sweep("recent", "complaint_type_norm, address_norm", "created_date", "unique_key")
 )
 ORACLES["neighbour_band_join"] = f"""
 SELECT DISTINCT c.event_id, c.event_type, c.user_id, {_time("c.ts")} AS ts

@@ -297,6 +297,12 @@ def dedup_window_sweep(spark, sf_dir):
     return duplicates.sweep_windows(_events(spark, sf_dir), SWEEP_MINUTES, EVENT_GROUP, "ts")
 
 
+@query
+def dedup_sweep_recent(spark, sf_dir):
+    recent = duplicates.candidates(derived.served(spark, sf_dir), derived.as_of(), 20)
+    return duplicates.sweep_windows(recent, SWEEP_MINUTES)
+
+
 @query
 def neighbour_band_join(spark, sf_dir):
     """Events within twice the window of an event that came after the watermark."""
