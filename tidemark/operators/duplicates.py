@@ -29,9 +29,9 @@ def _takes_part(group: tuple[str, ...], time: str, key: str) -> Column:
     return F.coalesce(reduce(and_, named), F.lit(False)) & F.col(time).isNotNull()
 
 
-def _bucket(us: Column, window_us: int) -> Column:
-    """Bucket one window wide; a zero window gives one bucket per instant."""
-    return F.floor(us / F.lit(window_us)) if window_us else us
+def _bucket(us: Column, width_us: int) -> Column:
+    """Start of the bucket a time falls into; a zero width gives one bucket per instant."""
+    return us - F.pmod(us, F.lit(width_us).cast("bigint")) if width_us else us
 
 
 def _bucket_summary(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -233,14 +233,13 @@ def neighbours(
         )
 
     lo, hi = F.col("lo"), F.col("hi")
-    step = 1 if band else 0
     spread = seen.select(
         *names,
         F.inline(
             F.array(
-                reach(-step, nothing, F.lit(False), lo),
+                reach(-band, nothing, F.lit(False), lo),
                 reach(0, nothing, F.lit(True), nothing),
-                reach(step, hi, F.lit(False), nothing),
+                reach(band, hi, F.lit(False), nothing),
             )
         ),
     )

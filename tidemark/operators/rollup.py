@@ -20,7 +20,7 @@ def rollup(clean: DataFrame) -> DataFrame:
     """
     survivor = F.col("is_duplicate_of").isNull()
     closed = F.col("closed_date").isNotNull()
-    rows = clean.select(
+    rows = clean.where(F.col("created_date").isNotNull()).select(
         F.to_date("created_date").alias("day"),
         F.coalesce("borough", F.lit("UNSPECIFIED")).alias("borough"),
         F.coalesce("complaint_type_norm", F.lit("UNKNOWN")).alias("complaint_type_norm"),
