@@ -138,8 +138,3 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily table rolled up from the serving table."""
     return _staged(spark, sf_dir, "daily", lambda: rollup(served(spark, sf_dir)))
-
-
-def forget_staged() -> None:
-    """Makes the next query derive its tables again (for timing)."""
-    _written.clear()
