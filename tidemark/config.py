@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -51,22 +53,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_single_process: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests) may fall back to a temporary folder; on a cluster that
-    would not be visible to the other machines, so it is refused.
+    Where that is unset, a session whose driver and executors are one process (``local[...]``, as
+    in tests) gets a temporary folder; for any other the folder would not be visible to all
+    machines, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _single_process.get(context.applicationId)
+        if not folder:
+            folder = _single_process[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder name below :func:`shared_dir`."""
-    stamp = spark.sql("SELECT uuid()").first()[0]
-    return f"{shared_dir(spark)}/{name}-{stamp}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
