@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, quality, simhash
+from tidemark.llm import bpe, exact_dedup, mixing, quality, secrets, simhash
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -20,6 +20,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns, and spans of high entropy."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[secrets.counted(spans, k.name).alias(f"n_{k.name}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(secrets.fixed_spans(spans)).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the bytes they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents")
@@ -60,5 +72,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op4_byte_bpe, op5_exact_dedup, op6_mixing, op7_simhash)
+    for f in (op1_quality_classifier, op2_secret_scan, op4_byte_bpe, op5_exact_dedup, op6_mixing, op7_simhash)
 }
