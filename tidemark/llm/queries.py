@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, mixing, quality, secrets, simhash
+from tidemark.llm import token_counts, weighted_sampling
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+TOKEN_LIMIT = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +73,37 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed, "component_id")
 
 
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every document, its edited text and its neighbour."""
+    found = weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
+    n = token_counts.total(F.col("counts"))
+    return counts.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_secret_scan, op4_byte_bpe, op5_exact_dedup, op6_mixing, op7_simhash)
+    for f in (
+        op1_quality_classifier,
+        op2_secret_scan,
+        op4_byte_bpe,
+        op5_exact_dedup,
+        op6_mixing,
+        op7_simhash,
+        op9_weighted_sampling,
+        op10_token_counts,
+    )
 }
