@@ -6,8 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, quality, secrets, simhash
-from tidemark.llm import token_counts, weighted_sampling
+from tidemark.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    weighted_sampling,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +82,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed, "component_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consistent weighted samples of every document, its edited text and its neighbour."""
     found = weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
@@ -103,6 +117,7 @@ QUERIES = {
         op5_exact_dedup,
         op6_mixing,
         op7_simhash,
+        op8_html_text,
         op9_weighted_sampling,
         op10_token_counts,
     )
