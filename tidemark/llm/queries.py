@@ -11,6 +11,7 @@ from tidemark.llm import (
     exact_dedup,
     html_text,
     mixing,
+    passages,
     quality,
     secrets,
     simhash,
@@ -44,6 +45,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the bytes they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents")
@@ -113,6 +119,7 @@ QUERIES = {
     for f in (
         op1_quality_classifier,
         op2_secret_scan,
+        op3_repeated_passages,
         op4_byte_bpe,
         op5_exact_dedup,
         op6_mixing,
