@@ -1,19 +1,22 @@
 """Byte-level BPE encoding and decoding around one shuffle of distinct words.
 
-Documents are cut into blocks. A block yields each of its distinct pre-tokens once, and the place
-of every pre-token in its documents as one compressed array of numbers. The pre-tokens of all
-blocks are dealt out by their text, each distinct one is encoded once, its ids go back to the
-blocks that hold it, and each block reassembles its documents by position. So a frequent word
-moves once a block instead of once an occurrence, and texts are not moved at all.
+Documents are cut into blocks. A block yields each of its distinct pre-tokens once, in packets by
+the hash of the word, and the place of every pre-token in its documents as one compressed array of
+numbers. The packets of all blocks are dealt out by that hash, each distinct word is encoded once,
+its ids go back to the blocks that hold it, and each block reassembles its documents by position.
+So a frequent word moves once a block instead of once an occurrence, and texts do not move at all.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -24,7 +27,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import small_batches
 
 #: Bytes of text in a block, at most a document more.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+#: Packets of words a block and shuffle partition.
+PACKETS = 2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,24 +47,31 @@ def unicode_spaces(pattern: str) -> str:
 class Splitter:
     """Splits texts into pre-tokens.
 
-    A pre-token starts at every single space between characters that aren't white space, so the
-    pieces between them can be split on their own; distinct pieces only are split by the pattern.
+    A text may be cut before each space that has a character other than white space on one side,
+    and its pieces be split on their own. Pieces are named without that space, those that don't
+    follow one with a space before their name, and only distinct ones are split by the pattern.
     """
 
     _LOOSE = regex.compile(r"(?<=\P{White_Space})(?= \P{White_Space})")
-    _SPACED = regex.compile(r" (?:\p{White_Space}|$)|\p{White_Space} |^ ")
+    _RARE = "\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+        map(chr, range(0x2000, 0x200B))
+    )
 
     def __init__(self, pattern: str):
         self.pattern = regex.compile(unicode_spaces(pattern))
 
     def pieces(self, text: str) -> list[str]:
-        if self._SPACED.search(text):
-            return self._LOOSE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
+        if "  " in text or "\n " in text or any(c in text for c in self._RARE):
+            parts = self._LOOSE.split(text)
+            return [p[1:] if p[:1] == " " and p[1:2] not in (" ", "") else " " + p for p in parts]
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts
 
     def words(self, piece: str) -> list[str]:
-        return self.pattern.findall(piece)
+        if piece.isalpha():
+            return [" " + piece]
+        return self.pattern.findall(piece[1:] if piece[:1] == " " else " " + piece)
 
 
 def _ragged(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,27 +83,54 @@ def _ragged(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[n
     return flat[at], lengths
 
 
-def _block(ids: list, texts: list[str], splitter: Splitter) -> tuple[list[str], bytes, bytes]:
-    """Distinct pre-tokens, their places (compressed), and pre-tokens of each document."""
-    piece_no: dict[str, int] = {}
-    number = piece_no.setdefault
-    docs = [[number(p, len(piece_no)) for p in splitter.pieces(t)] if t else [] for t in texts]
-    word_no: dict[str, int] = {}
-    split = [[word_no.setdefault(w, len(word_no)) for w in splitter.words(p)] for p in piece_no]
-    sizes = np.array([len(s) for s in split], dtype=np.int64)
-    flat = np.fromiter((w for s in split for w in s), dtype=np.uint32, count=int(sizes.sum()))
+def _distinct_words(texts: list[str], splitter: Splitter):
+    """Pieces of each text, distinct pieces, words of each distinct piece, and distinct words;
+    distinct ones in the order in which they come up."""
+    docs = [splitter.pieces(t) if t else [] for t in texts]
+    pieces = dict.fromkeys(chain.from_iterable(docs))
+    split = [splitter.words(p) for p in pieces]
+    return docs, pieces, split, dict.fromkeys(chain.from_iterable(split))
+
+
+def _places(texts: list[str], splitter: Splitter) -> tuple[bytes, bytes]:
+    """The number of each pre-token among the distinct ones, compressed, and pre-tokens a text."""
+    docs, pieces, split, words = _distinct_words(texts, splitter)
+    word_no = dict(zip(words, range(len(words))))
+    piece_no = dict(zip(pieces, range(len(pieces))))
+    sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    flat = np.fromiter(map(word_no.__getitem__, chain.from_iterable(split)), np.uint32, int(sizes.sum()))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    index = np.fromiter((p for d in docs for p in d), dtype=np.int64)
+    index = np.fromiter(map(piece_no.__getitem__, chain.from_iterable(docs)), dtype=np.int64)
     places, lengths = _ragged(flat, offsets, index)
     of_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     per_doc = np.bincount(of_doc, weights=lengths, minlength=len(docs)).astype(np.uint32)
-    pack = zstandard.ZstdCompressor(level=3).compress
     # Low and high halves apart: the high half is mostly zeros.
     halves = np.concatenate((places.astype(np.uint16), (places >> 16).astype(np.uint16)))
-    return list(word_no), pack(halves.tobytes()), per_doc.tobytes()
+    return _pack(halves), per_doc.tobytes()
+
+
+def _pack(*parts) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("word", pa.string())])
+def _packet(nos: np.ndarray, items: list[bytes]) -> bytes:
+    """Numbers with a run of bytes each."""
+    lengths = np.fromiter(map(len, items), np.uint32, len(items))
+    count = np.array([len(items)], np.uint32)
+    return _pack(count, nos.astype(np.uint32), lengths, b"".join(items))
+
+
+def _items(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = _unpack(packed)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    nos, lengths = np.frombuffer(raw, np.uint32, 2 * n, 4).reshape(2, n)
+    ends = np.cumsum(lengths, dtype=np.int64) + 4 + 8 * n
+    starts = ends - lengths
+    return nos, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -118,21 +157,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield closed(ids, texts)
 
 
-def _word_rows(pattern: str):
+def _word_rows(pattern: str, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern)
-        for block, ids, texts in _blocks(batches):
-            words, _, _ = _block(ids, texts, splitter)
-            for at in range(0, len(words), 10_000):
-                part = words[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block] * len(part), pa.int64()),
-                        pa.array(range(at, at + len(part)), pa.int32()),
-                        pa.array(part, pa.string()),
-                    ],
-                    schema=_WORDS,
-                )
+        for block, _, texts in _blocks(batches):
+            words = [w.encode("utf-8", "surrogatepass") for w in _distinct_words(texts, splitter)[-1]]
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            parts = np.split(order, starts[1:]) if len(found) else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found, pa.int32()),
+                    pa.array([block] * len(found), pa.int64()),
+                    pa.array([_packet(p, [words[i] for i in p.tolist()]) for p in parts], pa.binary()),
+                ],
+                names=["bucket", "block", "packet"],
+            )
 
     return rows
 
@@ -145,32 +186,39 @@ def _place_rows(pattern: str, id_type: pa.DataType):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern)
         for block, ids, texts in _blocks(batches):
-            _, places, sizes = _block(ids, texts, splitter)
+            places, sizes = _places(texts, splitter)
             columns = [pa.array([v], t) for v, t in zip((block, ids, places, sizes), schema.types)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return rows
 
 
-def _encode_runs(ranks) -> object:
-    """Encodes sorted words, each distinct one once."""
+def _encode_packets(ranks):
+    """Packets of words, sorted by bucket, as packets of ids; each distinct word is encoded once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encode = tiktoken.Encoding(
+        whole = tiktoken.Encoding(
             "whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={}
-        ).encode_ordinary
-        last, ids = None, b""
+        )
+
+        class Coded(dict):
+            def __missing__(self, word: bytes) -> bytes:
+                ids = whole.encode_ordinary(word.decode("utf-8", "surrogatepass"))
+                self[word] = coded = np.array(ids, dtype="<u4").tobytes()
+                return coded
+
+        at, coded = None, Coded()
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode(word), dtype="<u4").tobytes()
-                out.append(ids)
+            for bucket, packet in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != at:
+                    at, coded = bucket, Coded()
+                nos, words = _items(packet)
+                out.append(_packet(nos, [coded[w] for w in words]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                names=["block", "no", "tokens"],
+                [batch.column(1), pa.array(out, pa.binary())], names=["block", "packet"]
             )
 
     return rows
@@ -179,17 +227,18 @@ def _encode_runs(ranks) -> object:
 def _reassemble(id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("tokens", pa.binary())])
 
-    def rows(words: pa.Table, blocks: pa.Table) -> pa.Table:
-        no = words.column("no").to_numpy()
-        tokens = words.column("tokens").to_pylist()
-        # Blocks that hold the same are numbered alike, their words come more than once.
-        first = dict(zip(no.tolist(), tokens))
-        parts = [first[i] for i in range(len(first))]
+    def rows(packets: pa.Table, blocks: pa.Table) -> pa.Table:
+        # Blocks that hold the same are numbered alike; their words come more than once.
+        coded: dict[int, bytes] = {}
+        for packet in packets.column("packet").to_pylist():
+            nos, items = _items(packet)
+            coded.update(zip(nos.tolist(), items))
+        parts = [coded[i] for i in range(len(coded))]
         flat = np.frombuffer(b"".join(parts), dtype="<u4")
         offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)))
         made_ids, made = [], []
         for row in blocks.to_pylist():
-            halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["places"]), np.uint16)
+            halves = np.frombuffer(_unpack(row["places"]), np.uint16)
             low, high = halves[: len(halves) // 2], halves[len(halves) // 2 :]
             places = low.astype(np.int64) + (high.astype(np.int64) << 16)
             all_ids, lengths = _ragged(flat, offsets, places)
@@ -224,11 +273,12 @@ def encode(
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = narrow.schema["id"].dataType
     arrow = to_arrow_type(kind)
-    words = narrow.mapInArrow(_word_rows(pattern), "block long, no int, word string")
+    buckets = PACKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = (
-        words.repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_encode_runs(ranks), "block long, no int, tokens binary")
+        narrow.mapInArrow(_word_rows(pattern, buckets), "bucket int, block long, packet binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_encode_packets(ranks), "block long, packet binary")
     )
     blocks = T.StructType(
         [
@@ -245,7 +295,7 @@ def encode(
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def token_array(tokens):
+def token_array(tokens: pd.Series) -> pd.Series:
     """The ids of :func:`encode` as an array of integers."""
     return tokens.map(lambda b: np.frombuffer(b, "<u4").astype(np.int32))
 
@@ -259,8 +309,10 @@ def decode(tokens: DataFrame, ranks_path: str, name: str = "tokens") -> DataFram
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.pandas_udf(T.BinaryType())
-    def decoded(values):
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = {i: b for b, i in ranks.value.items()}
-        return values.map(lambda v: b"".join(map(table.__getitem__, np.frombuffer(v, "<u4").tolist())))
+        join = lambda v: b"".join(map(table.__getitem__, np.frombuffer(v, "<u4").tolist()))
+        for values in batches:
+            yield values.map(join)
 
     return tokens.withColumn("decoded", decoded(F.col(name)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import new_run_dir
 
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

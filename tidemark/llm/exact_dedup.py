@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from tidemark.config import new_run_dir
 from tidemark.llm.common import fresh, keep_one, staged, whole_text
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # One cache and write buffer for all state of an executor; what exceeds it is on disk.
+    "rocksdb.boundedMemoryUsage": "true",
+    "rocksdb.maxMemoryUsageMB": "128",
+}
 FILES_PER_TRIGGER = 512
 FILTER_BITS = 1 << 23
 _BITMAP_BITS = 32768  # of one bitmap that bitmap_construct_agg makes
@@ -43,7 +48,8 @@ def keyed_state(
 ) -> DataFrame:
     """Streams the rows written at ``rows_path`` through the keyed state and returns the state as
     (digest, n, best: struct of rank and file)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE_STORE.items():
+        spark.conf.set(f"spark.sql.streaming.stateStore.{key}", value)
     rows = spark.read.parquet(rows_path)
     stream = (
         spark.readStream.schema(rows.schema)
