@@ -117,20 +117,34 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _packet(nos: np.ndarray, items: list[bytes]) -> bytes:
-    """Numbers with a run of bytes each."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as all their first bytes, all their second bytes and so on, which packs well."""
+    return np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _packet(nos: np.ndarray, items: list[bytes], ids: bool = False) -> bytes:
+    """Rising numbers with a run of bytes each; of token ids if ``ids``."""
     lengths = np.fromiter(map(len, items), np.uint32, len(items))
-    count = np.array([len(items)], np.uint32)
-    return _pack(count, nos.astype(np.uint32), lengths, b"".join(items))
+    count = np.array([len(items)], "<u4").tobytes()
+    body = b"".join(items)
+    if ids:
+        body = _planes(np.frombuffer(body, "<u4"))
+    return _pack(count, _planes(np.diff(nos, prepend=0)), _planes(lengths), body)
 
 
-def _items(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _items(packed: bytes, ids: bool = False) -> tuple[np.ndarray, list[bytes]]:
     raw = _unpack(packed)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    nos, lengths = np.frombuffer(raw, np.uint32, 2 * n, 4).reshape(2, n)
-    ends = np.cumsum(lengths, dtype=np.int64) + 4 + 8 * n
-    starts = ends - lengths
-    return nos, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    nos = np.cumsum(_from_planes(raw, n, 4), dtype=np.int64)
+    lengths = _from_planes(raw, n, 4 + 4 * n)
+    ends, at = np.cumsum(lengths, dtype=np.int64), 4 + 8 * n
+    body = _from_planes(raw, (len(raw) - at) // 4, at).tobytes() if ids else raw[at:]
+    return nos, [body[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -216,7 +230,7 @@ def _encode_packets(ranks):
                 if bucket != at:
                     at, coded = bucket, Coded()
                 nos, words = _items(packet)
-                out.append(_packet(nos, [coded[w] for w in words]))
+                out.append(_packet(nos, [coded[w] for w in words], ids=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(out, pa.binary())], names=["block", "packet"]
             )
@@ -231,7 +245,7 @@ def _reassemble(id_type: pa.DataType):
         # Blocks that hold the same are numbered alike; their words come more than once.
         coded: dict[int, bytes] = {}
         for packet in packets.column("packet").to_pylist():
-            nos, items = _items(packet)
+            nos, items = _items(packet, ids=True)
             coded.update(zip(nos.tolist(), items))
         parts = [coded[i] for i in range(len(coded))]
         flat = np.frombuffer(b"".join(parts), dtype="<u4")

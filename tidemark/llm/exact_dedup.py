@@ -19,6 +19,8 @@ STATE_STORE = {
     # One cache and write buffer for all state of an executor; what exceeds it is on disk.
     "rocksdb.boundedMemoryUsage": "true",
     "rocksdb.maxMemoryUsageMB": "128",
+    # A store of few keys takes little room; allotted ahead, each would take megabytes.
+    "rocksdb.allowFAllocate": "false",
 }
 FILES_PER_TRIGGER = 512
 FILTER_BITS = 1 << 23
