@@ -1,0 +1,510 @@
+"""The training-data operators against plain Python on small tables with awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import string
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+from tidemark.llm import (
+    bpe,
+    exact_dedup,
+    graph,
+    html_text,
+    mixing,
+    passages,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    weighted_sampling,
+)
+from tidemark.llm.queries import BYTE_BPE, WORD_BPE
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "so", "vi", "pe", "dun", "x")]
+SCHEMA = "doc_id long, text string, source string, size int, fingerprint string, key string, digest int"
+
+
+def prose(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + rng.choice(("", "", "", ",", ".")) for _ in range(n))
+
+
+def awkward_rows() -> list[tuple]:
+    """Nulls, empty and white texts, a very long one, copies, repeated rows and ids."""
+    long = prose(1, 30_000)
+    texts = [
+        None,
+        "",
+        " \n\t",
+        "one",
+        "One  two\n three ",
+        "one two three",
+        "onetwothree",
+        prose(2, 80),
+        prose(2, 80) + " ",
+        prose(2, 40) + " other words here " + prose(3, 40),
+        long,
+        "naïve café 中文 ٣٤  wide \x1c sep don't I'LL we've 123abc <|endoftext|>",
+        "aaaa " * 50,
+    ]
+    rows = [(i, t, f"s{i % 3}" if i % 4 else None, i, "f", None, 1) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (3, "another text of id three", "s1", 1, "f", "k", 2)]
+    rows += [(None, "no id", "s0", 0, None, None, None), (None, "no id", "s0", 0, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(awkward_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(row) -> tuple:
+    return tuple((v is None, v if v is not None else 0) for v in row)
+
+
+# --- exact dedup
+
+
+def bare(text) -> str:
+    return re.sub(r"[\x20\x09-\x0D]+", "", text or "")
+
+
+@pytest.mark.parametrize("bytes_kept", [32, 1])
+def test_exact_groups(awkward, bytes_kept):
+    """Shortened digests collide; the comparison of bytes must tell the texts apart."""
+    groups = defaultdict(list)
+    for r in awkward_rows():
+        groups[bare(r[1])].append((-len(r[1] or ""), r[0] is None, r[0] or 0))
+    got = exact_dedup.exact_groups(awkward, bytes_kept=bytes_kept, files_per_trigger=1).collect()
+    assert len(got) == len(awkward_rows())
+    assert sum(r.kept for r in got) == len(groups)
+    want = Counter()
+    for r in awkward_rows():
+        best = min(groups[bare(r[1])])
+        want[(r[0], len(r[1] or ""), None if best[1] else best[2], len(groups[bare(r[1])]))] += 1
+    assert Counter((r.id, r.chars, r.keep_id, r.group_size) for r in got) == want
+    assert all(r.id == r.keep_id for r in got if r.kept)
+
+
+def test_drop_exact_duplicates(awkward, nothing):
+    left = exact_dedup.drop_exact_duplicates(awkward)
+    assert left.columns == awkward.columns
+    texts = [bare(r.text) for r in left.collect()]
+    assert sorted(texts) == sorted({bare(r[1]) for r in awkward_rows()})
+    assert exact_dedup.drop_exact_duplicates(nothing).count() == 0
+    assert exact_dedup.exact_groups(nothing).count() == 0
+
+
+# --- SimHash
+
+
+def plain_simhash(text) -> int:
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if sum(h >> i & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_simhash_matches_plain_and_sparks_hash(spark):
+    for text in ["", "A b", "a B c d E f", prose(4, 200), "é É ß one two"]:
+        assert simhash.simhash(text) % 2**64 == plain_simhash(text)
+    hashed = spark.sql("SELECT xxhash64('a b c')").first()[0]
+    assert simhash.simhash("a b c") == hashed
+
+
+def linked(values: list[int], radius: int = 2) -> dict[int, int]:
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in root:
+        for b in root:
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {v: find(v) for v in root}
+
+
+def test_near_groups_against_all_pairs(spark):
+    rng = random.Random(5)
+    values = []
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        values += [centre]
+        for _ in range(15):  # chains of small steps, and leaves about one centre
+            step = rng.choice((values[-1], centre))
+            values.append(step ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.5) * (1 << rng.randrange(64)))
+    values += [0, 1 << 63, 3, 3]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    frame = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fingerprint long")
+    got = {r.fingerprint: r.component_id for r in simhash.near_groups(frame).collect()}
+    root = linked(values)
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(root[v], i)
+    assert all(got[s] == first[root[v]] for v, s in zip(values, signed))
+
+
+def test_drop_near_duplicates(awkward, nothing):
+    left = simhash.drop_near_duplicates(awkward)
+    assert left.columns == awkward.columns
+    rows = awkward_rows()
+    root = linked([plain_simhash(r[1]) for r in rows])
+    assert left.count() == len({root[plain_simhash(r[1])] for r in rows})
+    assert simhash.near_duplicates(awkward).count() == len(rows)
+    assert simhash.near_duplicates(nothing).count() == 0
+    assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(1000, 1001), (7777, 7777), (None, 4)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 0 for n in order} | {1000: 1000, 1001: 1000, 7777: 7777}
+
+
+# --- mixing
+
+
+def plain_targets(sizes: dict) -> dict:
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        open_ = [s for s in names if s not in capped]
+        rest = total - sum(2 * sizes[s] for s in capped)
+        level = rest / sum(weight[s] for s in open_) if open_ else 0
+        more = {s for s in open_ if weight[s] * level > 2 * sizes[s]}
+        if not more:
+            return {s: 2 * sizes[s] if s in capped else weight[s] * level for s in names}
+        capped |= more
+
+
+def test_mixing(awkward, nothing):
+    plan = mixing.mixing_plan(awkward).collect()
+    assert len(plan) == len(awkward_rows())
+    sizes = Counter()
+    for r in awkward_rows():
+        sizes[r[2]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    targets = plain_targets(dict(sizes))
+    for r in plan:
+        assert r.source_size == sizes[r.source]
+        assert math.isclose(r.target, targets[r.source], rel_tol=1e-12)
+        assert math.floor(r.rate) <= r.copies <= min(2, math.floor(r.rate) + 1)
+    mixed = mixing.mix(awkward)
+    assert mixed.columns == awkward.columns
+    assert mixed.count() == sum(r.copies for r in plan)
+    assert mixing.mixing_plan(nothing).count() == 0
+
+
+def test_mixing_comes_near_targets(spark):
+    rows = [(i, prose(i, 20 + i % 60), "big" if i % 3 else f"s{i % 7}") for i in range(2500)]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in plan:
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 0.2 * t for s, t in target.items())
+    assert abs(taken["big"] - target["big"]) <= 0.05 * target["big"]
+
+
+# --- byte BPE
+
+
+def tiktoken_encoding():
+    import tiktoken
+
+    ranks = bpe.read_ranks(BYTE_BPE)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_ids_and_round_trip(awkward, nothing, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 400)
+    coding = tiktoken_encoding()
+    coded = bpe.decode(bpe.encode(awkward, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE)
+    got = sorted(
+        ((r.doc_id, tuple(np.frombuffer(r.tokens, "<u4").tolist()), bytes(r.decoded)) for r in coded.collect()), key=key
+    )
+    want = [(r[0], tuple(coding.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in awkward_rows()]
+    assert got == sorted(want, key=key)
+    assert bpe.encode(nothing, BYTE_BPE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pretokens_of_odd_spacing():
+    import tiktoken
+
+    coding = tiktoken_encoding()
+    whole = tiktoken.Encoding(
+        "whole", pat_str=r"[\s\S]+", mergeable_ranks=bpe.read_ranks(BYTE_BPE), special_tokens={}
+    )
+    split, rng = bpe.Splitter(public_tokenizers.PATTERN), random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab 1 .'sé\n\t \x1c\x85\xa0　’中٣$_!re'") for _ in range(rng.randint(1, 14)))
+        words = [w for p in split.pieces(text) for w in split.words(p)]
+        assert "".join(words) == text
+        assert [i for w in words for i in whole.encode_ordinary(w)] == coding.encode_ordinary(text)
+
+
+# --- token counts
+
+
+def test_token_counts(awkward, nothing):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(WORD_BPE)
+    tokens = lambda t: len(model.encode(t, add_special_tokens=False).ids)
+    frame = token_counts.prefix_counts(awkward, WORD_BPE).withColumn("n", token_counts.total(F.col("counts")))
+    got = sorted(((r.doc_id, r.n_bytes, r.n) for r in frame.collect()), key=key)
+    assert got == sorted(((r[0], len((r[1] or "").encode()), tokens(r[1] or "")) for r in awkward_rows()), key=key)
+    assert token_counts.prefix_counts(nothing, WORD_BPE).count() == 0
+
+
+def test_every_prefix_and_budgets(spark):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(WORD_BPE)
+    text = " Don't  stop\nWE'LL café́ go <|endoftext|>x 12 "
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    every = token_counts.every_prefix(frame, WORD_BPE)
+    row = every.select("counts", token_counts.code_points_within(F.col("counts"), 4).alias("most")).first()
+    want = [len(model.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+    assert row.counts == want
+    assert row.most == next(n for n, c in enumerate(want) if c > 4) - 1
+    words = token_counts.prefix_counts(frame, WORD_BPE)
+    n = words.select(token_counts.words_within(F.col("counts"), 4).alias("n")).first().n
+    ends = token_counts.word_ends(text)[1]
+    assert want[ends[n - 1]] <= 4 < want[ends[n]]
+
+
+# --- weighted sampling
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = weighted_sampling.bag(a), weighted_sampling.bag(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_likeness_estimates_generalised_jaccard():
+    draws = weighted_sampling.Draws(2048)
+    for a, b in [(prose(1, 100), prose(2, 100)), ("a a a a b", "a a b b c"), (prose(3, 400), prose(3, 200)), ("x", "y")]:
+        estimate = weighted_sampling.likeness(
+            weighted_sampling.sample(weighted_sampling.bag(a), draws),
+            weighted_sampling.sample(weighted_sampling.bag(b), draws),
+        )
+        assert abs(estimate - jaccard(a, b)) < 0.05
+
+
+def test_draws_survive_full_memory(monkeypatch):
+    texts = [prose(i, 60) for i in range(20)]
+    want = [weighted_sampling.sample(weighted_sampling.bag(t), weighted_sampling.Draws()) for t in texts]
+    monkeypatch.setattr(weighted_sampling, "LIGHT_WORDS", 7)
+    monkeypatch.setattr(weighted_sampling, "HEAVY_WORDS", 5)
+    draws = weighted_sampling.Draws()
+    got = [weighted_sampling.sample(weighted_sampling.bag(t), draws) for t in texts * 2]
+    assert all((g == w).all() for g, w in zip(got, want * 2))
+
+
+def test_fingerprints(awkward, nothing, spark):
+    rows = {(r[0], r[1] or "") for r in awkward_rows() if r[0] is not None and r[0] != 3}
+    unique = spark.createDataFrame(sorted(rows), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in weighted_sampling.fingerprints(unique).collect()}
+    ids, text = sorted((r[0] for r in rows), reverse=True), dict(rows)
+    assert sorted(got, reverse=True) == ids
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        half = len(text[i]) // 2
+        assert got[i].edited_text == text[i][: len(text[i]) - half] + text[after][:half]
+        assert got[i].n_chars == len(text[i])
+        assert got[i].near_next == weighted_sampling.likeness(
+            np.frombuffer(got[i].fingerprint, "<u2"), np.frombuffer(got[after].fingerprint, "<u2")
+        )
+    every = weighted_sampling.fingerprints(awkward).collect()
+    assert Counter(r.doc_id for r in every) == Counter(r[0] for r in awkward_rows())
+    assert weighted_sampling.fingerprints(nothing).count() == 0
+    lone = weighted_sampling.fingerprints(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
+    assert lone.edited_text == "abab" and lone.near_next == 1.0
+
+
+# --- secrets
+
+
+def plain_base(text: str) -> list[tuple]:
+    assign = re.compile(
+        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A
+    )
+    found = [(m.start(), "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def plain_windows(text: str) -> list[tuple]:
+    """Entropy counted anew for each window."""
+    found = []
+    for kind in secrets.CLASSES:
+        for m in re.finditer(kind.candidate, text, re.A):
+            if any(re.search(p, m[0]) for p in secrets.ALLOWED):
+                continue
+            spans: list[list[int]] = []
+            for at in range(len(m[0]) - kind.window + 1):
+                counts = Counter(m[0][at : at + kind.window]).values()
+                bits = -sum(c / kind.window * math.log2(c / kind.window) for c in counts)
+                if bits >= kind.bits:
+                    if spans and at <= spans[-1][1]:
+                        spans[-1][1] = at + kind.window
+                    else:
+                        spans.append([at, at + kind.window])
+            found += [(m.start() + a, kind.name, m.start() + b) for a, b in spans]
+    return found
+
+
+def test_secrets(awkward, nothing, spark):
+    rng = random.Random(8)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base64ish = string.ascii_letters + string.digits + "+/-_"
+    texts = [
+        'PassWord = "hunter2hunter" secret:token secret:token:abcdefgh API_KEY=short',
+        "é中😀 AKIA" + make(string.ascii_uppercase + string.digits, 16) + " AKIAAKIA12 " + make("0123456789abcdef", 40),
+        "key " + make(base64ish, 60) + " and " + make("0123456789ABCDEF", 40) + ".",
+        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1" + make(base64ish, 40) + "bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb2",
+        "Rindfleischetikettierungsueberwachung 123e4567-e89b-12d3-a456-426614174000 abcdefghijklmnopqrstuvwxyz0123456789",
+        " ".join(make("0123456789abcdef", rng.randint(20, 30)) for _ in range(300)),
+        *[r[1] for r in awkward_rows()],
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.find_secrets(frame).collect():
+        text = texts[r.doc_id] or ""
+        fixed = [(s.start, s.kind, s.stop) for s in r.spans if s.kind_no < len(secrets.KINDS)]
+        assert fixed == [(a, k, b) for a, k, b in sorted(plain_base(text), key=lambda s: (s[0], s[1] == "hex", s[1] == "access"))]
+        assert sorted((s.start, s.kind, s.stop) for s in r.spans if s.kind_no >= len(secrets.KINDS)) == sorted(plain_windows(text))
+    assert any(plain_windows(t or "") for t in texts)
+    assert secrets.find_secrets(awkward).count() == len(awkward_rows())
+    assert secrets.find_secrets(nothing).count() == 0
+
+
+# --- HTML
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<p>a<p>b <i>c</i>d", "a\n\nb cd"),
+        ("<ul><li>x<li>y<ol start=3><li>q<li>r</ol><li>z</ul>end", "- x\n- y\n  3. q\n  4. r\n- z\n\nend"),
+        ("<table><tr><th>Name<th>N<tr><td>Alpha beta<td>1<br>2</table>", "Name       | N\nAlpha beta | 1\n           | 2"),
+        ("<head><title>T</title></head><body>a<div hidden>no</div><p style='display: none'>no</p>b", "ab"),
+        ("<table>stray<tr><td colspan=2>a very wide cell<tr>lost<td>b<td>c</table>", "straylost\na very wide cell\nb | c"),
+        ("a<script>if (x<y) '</p>'</script>b<!-- <p>c -->d &lt;e&gt; &amp;amp;", "abd <e> &amp;"),
+        ("<pre> x\n   y</pre>z<br>w", " x\n   y\n\nz\nw"),
+        ("<b>" * 20_000 + "deep", "deep"),
+        ('<a title="a>b">link</a> 1 < 2 <unclosed', "link 1 < 2"),
+        ("<table>" * 60 + "<tr><td>in", "in"),
+    ],
+)
+def test_html(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_html_table(spark):
+    rows = [(1, "<p>x", "c"), (None, None, "c"), (1, "<p>x", "c")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string"))
+    assert sorted(((r.page_id, r.text) for r in got.collect()), key=key) == [(1, "x"), (1, "x"), (None, "")]
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+# --- passages
+
+
+def test_passages(spark, awkward, nothing):
+    rng = random.Random(12)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    shared, fuzzy = new(70), new(90)
+    changed = [w if rng.random() > 0.06 else "changed" for w in fuzzy]
+    texts = {
+        1: new(40) + shared + new(30),
+        2: new(5) + shared + new(200),
+        3: shared,
+        4: new(60) + fuzzy + new(20),
+        5: new(10) + changed,
+        6: new(300),
+        7: new(30) + shared[:30] + new(30),
+    }
+    rows = [(i, " ".join(w), "x", 0) for i, w in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, first_id string, start int")
+    got = passages.repeated_passages(frame).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5}
+    assert {r.other_id for r in got} <= {1, 2, 3, 4, 5, None}
+    assert {r.other_id for r in got if r.doc_id == 4} == {5}
+    covered = defaultdict(set)
+    for r in got:
+        assert r.passage_words >= 50 and r.similarity >= 0.8
+        covered[r.doc_id] |= set(texts[r.doc_id][r.start : r.stop])
+    assert covered[1] == covered[2] == covered[3] == set(shared)
+    # One text under several ids shares all of itself; repeated rows are one document.
+    same = passages.repeated_passages(awkward).collect()
+    assert {r.doc_id for r in same} >= {7, 8} and all(r.doc_id != r.other_id for r in same)
+    assert passages.repeated_passages(nothing).count() == 0
+
+
+def test_chains_against_all_predecessors():
+    rng = random.Random(3)
+    for _ in range(30):
+        matches = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
+        own, other = [a for a, _ in matches], [b for _, b in matches]
+        best = [0.0] * len(matches)
+        for i, (a, b) in enumerate(matches):
+            before = [best[j] - passages.GAP_COST * (a - own[j] + b - other[j]) for j in range(i) if own[j] < a and other[j] < b]
+            best[i] = passages.K + max([0.0, *before])
+        chain = passages.chains(own, other)
+        score = lambda c: len(c) * passages.K - passages.GAP_COST * (own[c[-1]] - own[c[0]] + other[c[-1]] - other[c[0]])
+        assert math.isclose(max(map(score, chain)), max(best))
+        assert sorted(i for c in chain for i in c) == list(range(len(matches)))
+
+
+# --- quality
+
+
+def test_quality(spark, awkward, nothing):
+    rows = []
+    for i in range(300):
+        good = i % 3 > 0
+        text = prose(i, 60)
+        rows.append((i, text if good else text.upper().replace(" ", "!! "), good))
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(g)) for i, _, g in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    import zlib
+
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert all(got[i].predicted == int(g) == int(got[i].score >= 0.3) for i, _, g in rows)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, g in rows if g}
+    odd = quality.score_quality(awkward, labels).collect()
+    assert len(odd) == len(awkward_rows()) and all(0 <= r.score <= 1 for r in odd)
+    assert quality.score_quality(nothing, labels).count() == 0
+    # Labels of one kind, or none, reject nothing.
+    assert quality.keep_good(docs, labels.where("quality = 1")).count() == len(rows)
+    assert quality.keep_good(docs, labels.limit(0)).count() == len(rows)

@@ -226,20 +226,38 @@ def _cells(table: Node) -> Iterator[list[Node]]:
                 yield from _cells(part)
 
 
+def _strays(table: Node) -> Iterator[Node | str]:
+    """What stands in a table outside its cells; browsers show it before the table."""
+    for part in table.children:
+        if isinstance(part, str):
+            if not part.isspace():
+                yield part
+        elif part.name in ("tr", "thead", "tbody", "tfoot"):
+            if not _unseen(part):
+                yield from _strays(part)
+        elif part.name not in _CELLS and part.name not in ("caption", "colgroup", "col"):
+            yield part
+
+
 def _table(table: Node, out: Lines, nested: int) -> None:
-    """Rows of cells, each column as wide as its widest cell, lines of a cell below each other."""
-    rows = []
+    """Rows of cells, each column as wide as its widest cell that spans no others, lines of a cell
+    below each other."""
+    rows, spanning = [], set()
     for cells in _cells(table):
         row: list[list[str]] = []
         for cell in cells:
             row.append(render(cell, nested + 1).split("\n"))
-            row += [[""]] * (cell.number("colspan", 1) - 1)
+            span = cell.number("colspan", 1)
+            if span > 1:
+                spanning.add((len(rows), len(row) - 1))
+            row += [[""]] * (span - 1)
         if row:
             rows.append(row)
     widths = [0] * max(map(len, rows), default=0)
-    for row in rows:
+    for k, row in enumerate(rows):
         for i, cell in enumerate(row):
-            widths[i] = max(widths[i], *map(len, cell))
+            if (k, i) not in spanning:
+                widths[i] = max(widths[i], *map(len, cell))
     for row in rows:
         for k in range(max(map(len, row))):
             parts = [(c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths)]
@@ -282,8 +300,11 @@ def render(root: Node, nested: int = 0) -> str:
         if name in BLOCKS:
             out.block(2 if name in SPACED and not lists else 1)
         if name == "table" and nested < MOST_NESTED_TABLES:
-            for part in node.children:
-                if isinstance(part, Node) and part.name == "caption" and not _unseen(part):
+            before = Node("div")
+            before.children = list(_strays(node))
+            captions = [n for n in node.children if isinstance(n, Node) and n.name == "caption"]
+            for part in (before, *captions):
+                if part.children and not _unseen(part):
                     out.block(1)
                     out.kept(render(part, nested + 1))
             _table(node, out, nested)
