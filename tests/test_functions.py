@@ -1,10 +1,12 @@
 """Column functions against tables of cases."""
 
+import math
+import random
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fixed
 from tidemark.functions import geo, numbers, text, times
 from tidemark.operators.standardize import standardize
 
@@ -23,55 +25,42 @@ def check(spark, cases, fn):
 
 
 def test_zip(spark):
-    cases = [
-        ("11215", "11215"),
-        ("11215-3401", "11215"),
-        ("11215 - 3401", "11215"),
-        ("112153401", "11215"),
-        ("  10011  ", "10011"),
-        ("10011 ", "10011"),
-        ("07030", "07030"),
-        ("", None),
-        (None, None),
-        ("N/A", None),
-        ("1121", None),
-        ("112155", None),
-        ("00000", None),
-        ("BROOKLYN", None),
-    ]
-    check(spark, cases, lambda c: text.zip5(text.zip_digits(c)))
+    """Five digits, with or without four more and whatever stands between; all else is NULL."""
+    rnd = random.Random(31)
+    cases = []
+    for _ in range(12):
+        five, four = f"{rnd.randrange(1, 100_000):05d}", f"{rnd.randrange(10_000):04d}"
+        cases += [(five, five), (f"\t{five} ", five)]
+        cases += [(five + between + four, five) for between in ("", "-", " - ", "- ")]
+        cases += [(five[:4], None), (five + "7", None), (f"zip {five[:3]}", None)]
+    cases += [(None, None), ("", None), ("-", None), ("0" * 5, None), ("none given", None)]
+    check(spark, dict(cases).items(), lambda c: text.zip5(text.zip_digits(c)))
 
 
 def test_address(spark):
     cases = [
-        ("123 East 14th Street", "123 E 14 ST"),
-        ("123 E 14 ST", "123 E 14 ST"),
-        ("55 W. 21st St.", "55 W 21 ST"),
-        ("55 west 21 street", "55 W 21 ST"),
-        ("1 Northwest Av", "1 NW AVE"),
-        ("12-34 Grand   Concourse", "12 34 GRAND CONCOURSE"),
-        ("22nd Road", "22 RD"),
-        ("First 1STREET", "FIRST 1STREET"),
-        ("   ", None),
-        ("--", None),
+        ("908 North 7th Avenue", "908 N 7 AVE"),
+        ("908 n. 7 AVE.", "908 N 7 AVE"),
+        ("4410  South   Cedar Street", "4410 S CEDAR ST"),
+        ("4410 S CEDAR ST", "4410 S CEDAR ST"),
+        ("7 Southeast 3rd Road", "7 SE 3 RD"),
+        ("81-16 Lantern  Boulevard", "81 16 LANTERN BLVD"),
+        ("Second 2ROAD", "SECOND 2ROAD"),
+        ("  \t ", None),
+        ("..", None),
         (None, None),
     ]
     check(spark, cases, lambda c: F.nullif(text.address_key(c), F.lit("")))
 
 
 def test_borough(spark):
-    cases = [
-        ("BROOKLYN", "BROOKLYN"),
-        ("new  york", "MANHATTAN"),
-        ("Richmond", "STATEN ISLAND"),
-        ("The Bronx ", "BRONX"),
-        ("Unspecified", None),
-        ("UNSPECIFIED BRONX", None),
-        ("", None),
-        (None, None),
-        ("Nassau", None),
-    ]
-    check(spark, cases, lambda c: text.borough_name(text.collapse_spaces(c)))
+    """Every known spelling in any case and spacing; anything longer or unknown is NULL."""
+    cases = []
+    for spelling, borough in fixed.borough_spellings():
+        cases += [(spelling, borough), (spelling.lower(), borough), (f" {spelling.title()}  ", borough)]
+        cases += [(spelling.replace(" ", " \t "), borough), (f"{spelling} COUNTY SEAT", None)]
+    cases += [("Westchester", None), ("?", None), ("", None), (None, None)]
+    check(spark, dict(cases).items(), lambda c: text.borough_name(text.collapse_spaces(c)))
 
 
 def test_clean_text(spark):
@@ -99,6 +88,12 @@ def test_times(spark):
         ("2026-09-02T09:14:00+02:00", utc(2026, 9, 2, 7, 14)),
         ("2026-09-02T09:14:00.123456-05:30", utc(2026, 9, 2, 14, 44, 0, 123456)),
         ("1788549731", utc(2026, 9, 4, 19, 22, 11)),
+        ("1788549731.5", utc(2026, 9, 4, 19, 22, 11, 500000)),
+        ("999999999", utc(2001, 9, 9, 1, 46, 39)),
+        ("2026-09-02T09", utc(2026, 9, 2, 9)),
+        ("2026-09-02T09+03:00", utc(2026, 9, 2, 6)),
+        ("2026-09-02 09Z", utc(2026, 9, 2, 9)),
+        ("99999999999999", None),
         ("2026", None),
         ("12:00", None),
         ("20260902T091400", None),
@@ -119,6 +114,7 @@ def test_times(spark):
 def test_update_time_takes_the_first_readable_field(spark):
     rows = [
         ("1788549731", None, None),
+        ("1788549731.25", None, None),
         (None, "2026-09-04T19:22:11", None),
         ("rubbish", None, "1788549731"),
         ("99999999999999999999", "1788549731", None),
@@ -131,7 +127,7 @@ def test_update_time_takes_the_first_readable_field(spark):
         .select(F.date_format("source_updated_at", "yyyy-MM-dd HH:mm:ss"))
         .collect()
     ]
-    assert got == ["2026-09-04 19:22:11"] * 4 + [None]
+    assert got == ["2026-09-04 19:22:11"] * 5 + [None]
 
 
 def test_numbers(spark):
@@ -205,48 +201,57 @@ def test_empty_address_falls_back_to_street_name(spark):
     ]
 
 
-@pytest.mark.parametrize(
-    "zip5, borough, found, agrees",
-    [
-        ("10011", "MANHATTAN", "MANHATTAN", True),
-        ("10282", "BRONX", "MANHATTAN", False),
-        ("10314", None, "STATEN ISLAND", None),
-        ("11249", "BROOKLYN", "BROOKLYN", True),
-        ("11697", "QUEENS", "QUEENS", True),
-        ("07030", "BROOKLYN", None, None),
-        ("10463", "BRONX", None, True),
-        ("10463", "MANHATTAN", None, True),
-        ("10463", "BROOKLYN", None, False),
-        ("11370", "BROOKLYN", None, False),
-        (None, "BROOKLYN", None, None),
-        ("abcde", "BROOKLYN", None, None),
-    ],
-)
-def test_zip_and_borough(spark, zip5, borough, found, agrees):
-    row = spark.createDataFrame([(zip5, borough)], "z string, b string").select(
-        geo.borough_of_zip(F.col("z")).alias("found"), "z", "b"
+def test_zip_and_borough(spark):
+    """The ends of each range belong to its borough, the codes beyond to another or none; a shared
+    code agrees with each of its boroughs."""
+    shared = dict(fixed.shared_zips())
+    ranges = fixed.zip_ranges()
+    rows = []
+    for low, high, borough in ranges:
+        for code in (low - 1, low, (low + high) // 2, high, high + 1):
+            owner = next((b for lo, hi, b in ranges if lo <= code <= hi), None)
+            zip5 = f"{code:05d}"
+            if zip5 not in shared:
+                rows.append((zip5, borough, owner, None if owner is None else owner == borough))
+    for zip5, boroughs in shared.items():
+        rows += [(zip5, b, None, b in boroughs) for b in {b for _, _, b in ranges}]
+    rows += [(None, "QUEENS", None, None), ("zip", "QUEENS", None, None)]
+    rows += [(f"{ranges[0][0]:05d}", None, ranges[0][2], None)]
+    frame = spark.createDataFrame(rows, "z string, b string, found string, agrees boolean")
+    frame = frame.repartition(2).withColumn("got", geo.borough_of_zip(F.col("z")))
+    agrees = geo.zip_matches_borough(F.col("z"), F.col("got"), F.col("b"))
+    wrong = frame.where(
+        ~F.col("got").eqNullSafe(F.col("found")) | ~agrees.eqNullSafe(F.col("agrees"))
     )
-    got = row.select(
-        "found", geo.zip_matches_borough(F.col("z"), F.col("found"), F.col("b"))
-    ).first()
-    assert tuple(got) == (found, agrees)
+    assert wrong.collect() == []
 
 
 def test_points(spark):
     nan = float("nan")
+    low, high = fixed.BBOX_MIN_LAT, fixed.BBOX_MAX_LAT
+    west, east = fixed.BBOX_MIN_LON, fixed.BBOX_MAX_LON
     points = [
-        (40.7419, -73.9930, None),
-        (-73.9930, 40.7419, "coords_swapped"),
-        (34.05, -118.24, "coords_outside_nyc"),
+        ((low + high) / 2, (west + east) / 2, None),
+        (low, west, None),
+        (high, east, None),
+        ((west + east) / 2, (low + high) / 2, "coords_swapped"),
+        (low - 0.001, west, "coords_outside_nyc"),
+        (51.5, -0.12, "coords_outside_nyc"),
         (0.0, 0.0, "coords_null_island"),
-        (1e-7, -1e-7, "coords_null_island"),
+        (-1e-8, 1e-8, "coords_null_island"),
         (None, None, "coords_missing"),
-        (40.7, None, "coords_partial"),
-        (nan, -73.9, "coords_outside_nyc"),
-        (40.477, -74.259, None),
+        (None, east, "coords_partial"),
+        (nan, west, "coords_outside_nyc"),
     ]
     df = spark.createDataFrame(points, "lat double, lon double, want string")
     bad = df.where(~geo.coordinate_class(F.col("lat"), F.col("lon")).eqNullSafe(F.col("want")))
     assert bad.collect() == []
-    km = geo.distance_km(F.lit(40.7580), F.lit(-73.9855), F.lit(40.7527), F.lit(-73.9772))
-    assert 0.6 < spark.range(1).select(km).first()[0] < 1.2
+
+
+def test_distance(spark):
+    """Along a meridian a degree is a 360th of the way round; across, it shrinks by the cosine."""
+    degree = 6371.0088 * math.pi / 180
+    pairs = [((10.0, 20.0, 11.0, 20.0), degree), ((60.0, 5.0, 60.0, 5.5), degree / 4), ((1.0, 2.0, 1.0, 2.0), 0.0)]
+    for points, want in pairs:
+        km = spark.range(1).select(geo.distance_km(*map(F.lit, points))).first()[0]
+        assert math.isclose(km, want, rel_tol=2e-3, abs_tol=1e-9)

@@ -22,10 +22,10 @@ def record(key, created, updated, **more):
         "created_date": created,
         "complaint_type": "Rodent",
         "borough": "BROOKLYN",
-        "incident_zip": "11215",
-        "incident_address": "12 East 5th Street",
-        "latitude": "40.6626",
-        "longitude": "-73.98",
+        "incident_zip": "11238",
+        "incident_address": "31 North 8th Street",
+        "latitude": "40.6811",
+        "longitude": "-73.9612",
     }
     return {k: v for k, v in (base | more).items() if v is not None}
 
@@ -33,7 +33,7 @@ def record(key, created, updated, **more):
 # Two pages. The second revises records of the first.
 PAGE_1 = [
     record("100", "2026-09-03T10:00:00", "2026-09-03T10:05:00"),
-    record("101", "2026-09-03T10:50:00", "2026-09-03T10:55:00", incident_address="12 E. 5 ST"),
+    record("101", "2026-09-03T10:50:00", "2026-09-03T10:55:00", incident_address="31 N. 8 ST"),
     record("102", "2026-09-03T11:45:00", "2026-09-03T11:46:00"),
     record("103", "2026-09-03T23:50:00", "2026-09-03T23:55:00", complaint_type="Heating", incident_zip="N/A"),
     record("104", "2026-09-03T08:30:00", "2026-09-03T10:00:00", incident_zip=None),

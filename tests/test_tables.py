@@ -1,6 +1,7 @@
 """Rollup, median, upsert, places, retention and the read queries."""
 
 import json
+import math
 import random
 import statistics
 from datetime import datetime, timedelta
@@ -120,22 +121,17 @@ def square(name, x, y, size, ring_only=True):
     return ring
 
 
-def ray_cast(lat, lon, ring):
-    inside, j = False, len(ring) - 1
-    for i, (xi, yi) in enumerate(ring):
-        xj, yj = ring[j]
-        if (yi > lat) != (yj > lat) and lon < (xj - xi) * (lat - yi) / (yj - yi) + xi:
-            inside = not inside
-        j = i
-    return inside
+def winds_around(lat, lon, ring):
+    """Whether the ring turns round the point: the angles to its corners add up to a full turn."""
+    angles = [math.atan2(y - lat, x - lon) for x, y in ring]
+    turns = (b - a for a, b in zip(angles, [*angles[1:], angles[0]]))
+    return abs(sum((t + math.pi) % (2 * math.pi) - math.pi for t in turns)) > math.pi
 
 
 def test_boundaries_and_points(spark, tmp_path):
     rnd = random.Random(4)
 
     def blob(cx, cy):
-        import math
-
         return [
             [cx + rnd.uniform(0.02, 0.08) * math.cos(a / 20 * 2 * math.pi),
              cy + rnd.uniform(0.02, 0.08) * math.sin(a / 20 * 2 * math.pi)]
@@ -170,7 +166,7 @@ def test_boundaries_and_points(spark, tmp_path):
         lat, lon = r["latitude"], r["longitude"]
         want = None
         if lat is not None and lat == lat:
-            want = next((n.upper() for n, rs in rings.items() if any(ray_cast(lat, lon, x) for x in rs)), None)
+            want = next((n.upper() for n, rs in rings.items() if any(winds_around(lat, lon, x) for x in rs)), None)
         assert r["found_borough"] == want
     assert sum(r["found_borough"] is not None for r in got) > 100
 

@@ -9,6 +9,7 @@ from tidemark import fixed_values as fixed
 from tidemark.config import timestamp_literal
 from tidemark.operators import validate as V
 from tidemark.operators.standardize import standardize
+from tidemark.plans.reports import stored_rule_counts
 
 
 
@@ -22,10 +23,10 @@ GOOD = {
     "closed_date": "2026-09-04T11:00:00",
     "complaint_type": "Rodent",
     "borough": "BROOKLYN",
-    "incident_zip": "11215",
+    "incident_zip": "11238",
     "incident_address": "1 Main St",
-    "latitude": "40.6626",
-    "longitude": "-73.98",
+    "latitude": "40.6811",
+    "longitude": "-73.9612",
 }
 # change to a good record -> (failed rules, detail of the first, field value of the first)
 CASES = [
@@ -37,7 +38,7 @@ CASES = [
         {"complaint_type": "Zebra " * 30},
         ["complaint_type_unrecognized"],
         "complaint type is not in the known-category table; record kept",
-        ("Zebra " * 30)[:120],
+        ("Zebra " * 30),
     ),
     ({"created_date": "soon"}, ["created_date_missing"], "created_date is absent", None),
     (
@@ -61,7 +62,7 @@ CASES = [
         {"incident_zip": "N/A" * 40},
         ["zip_malformed"],
         "incident_zip is not a parseable five-digit ZIP",
-        ("N/A" * 40)[:64],
+        ("N/A" * 40),
     ),
     (
         {"incident_zip": "07030"},
@@ -79,7 +80,7 @@ CASES = [
         {"latitude": None},
         ["coords_partial"],
         "exactly one of latitude/longitude is present",
-        "lat=None lon=-73.98",
+        "lat=None lon=-73.9612",
     ),
     (
         {"latitude": "0", "longitude": "0.0"},
@@ -88,10 +89,10 @@ CASES = [
         "0,0",
     ),
     (
-        {"latitude": "-73.98", "longitude": "40.6626"},
+        {"latitude": "-73.9612", "longitude": "40.6811"},
         ["coords_swapped"],
         "latitude and longitude appear transposed",
-        "-73.98,40.6626",
+        "-73.9612,40.6811",
     ),
     (
         {"latitude": "34.05", "longitude": "-118"},
@@ -102,8 +103,8 @@ CASES = [
     (
         {"borough": "Bronx"},
         ["borough_zip_conflict"],
-        "borough is BRONX but ZIP 11215 is allocated to BROOKLYN",
-        "BRONX/11215",
+        "borough is BRONX but ZIP 11238 is allocated to BROOKLYN",
+        "BRONX/11238",
     ),
     (
         {"incident_zip": "10463"},
@@ -160,6 +161,39 @@ def test_rule_counts_cover_the_registry(checked):
     assert {k: v for k, v in counted.items() if v} == exploded
 
 
+def test_rule_counts_of_added_rules(spark):
+    feed = spark.createDataFrame([tuple(GOOD.values())] * 3, ", ".join(f"{c} string" for c in GOOD))
+    plain = V.Rule("address_plain", V.FLAG, "no number", F.lit(True))
+    unused = V.Rule("address_odd", V.REJECT, "odd", F.lit(False))
+    checks = {"address": [plain], "odd": [unused]}
+    checked = V.validate(standardize(feed), now(), checks)
+    added = {"address_plain": V.FLAG, "address_odd": V.REJECT}
+    got = {r["rule"]: tuple(r)[1:] for r in V.rule_counts(checked, checks).collect()}
+    n = len(fixed.rules())
+    assert got["address_plain"] == (V.FLAG, n, 3) and got["address_odd"] == (V.REJECT, n + 1, 0)
+    assert set(got) == {name for name, _, _ in fixed.rules()} | set(added)
+    stored = {r["rule"]: r for r in stored_rule_counts(V.failure_rows(checked)).collect()}
+    assert stored["address_plain"]["failures"] == 3 and stored["address_plain"]["severity"] == V.FLAG
+    assert stored["zip_missing"]["failures"] == 0
+
+
+def test_lengths_are_an_option(spark):
+    feed = spark.createDataFrame([("x" * 5000,)], "descriptor string")
+    assert len(standardize(feed).first()["descriptor"]) == 5000
+    assert len(standardize(feed, lengths={"descriptor": 7}).first()["descriptor"]) == 7
+
+
+def test_zip_ranges_that_overlap(spark):
+    from tidemark.operators.places import join_zip_borough
+
+    zips = spark.createDataFrame([("00005",), ("00012",), ("00030",)], "z string")
+    ranges = [(1, 10, "A"), (5, 20, "B")]
+    got = {r["z"]: r["zip_borough"] for r in join_zip_borough(zips, "z", ranges).collect()}
+    assert got == {"00005": "A", "00012": "B", "00030": None}
+    with pytest.raises(ValueError):
+        join_zip_borough(zips, "z", [(1, 100_000, "A")])
+
+
 def test_without_a_clock_nothing_is_in_the_future(spark, checked):
     feed = spark.createDataFrame([("2999-01-01",)], "created_date string")
     rules = [f["rule"] for f in V.validate(standardize(feed)).first()["failures"]]
@@ -188,7 +222,7 @@ def test_polygon_rule(spark):
             "borough_geo_conflict",
             "flag",
             "borough is BROOKLYN but the coordinates fall in QUEENS",
-            "BROOKLYN/40.6626,-73.98",
+            "BROOKLYN/40.6811,-73.9612",
         )
     ]
     assert failures("BROOKLYN") == [] and failures(None) == []

@@ -161,7 +161,8 @@ borough_geo_conflict | flag | borough is {borough} but the coordinates fall in {
 CLOSE_SKEW = "INTERVAL 1 MINUTE"
 FUTURE_SLACK = "INTERVAL 1 HOUR"
 
-# Maximum stored length of each cleaned text field.
+# Text fields that are tidied, with lengths for targets of fixed width; texts stay
+# whole unless lengths are asked for.
 TEXT_LENGTHS = {
     "agency": 32,
     "agency_name": 256,

@@ -40,13 +40,14 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-def cut(collapsed: Column, max_len: int) -> Column:
-    """NULL when empty, at most ``max_len`` characters."""
-    return F.substring(F.nullif(collapsed, F.lit("")), 1, max_len)
+def cut(collapsed: Column, max_len: int | None = None) -> Column:
+    """NULL when empty; at most ``max_len`` characters if given."""
+    filled = F.nullif(collapsed, F.lit(""))
+    return filled if max_len is None else F.substring(filled, 1, max_len)
 
 
-def clean_text(c: Column, max_len: int) -> Column:
-    """Collapsed text, NULL when blank, at most ``max_len`` characters."""
+def clean_text(c: Column, max_len: int | None = None) -> Column:
+    """Collapsed text, NULL when blank; at most ``max_len`` characters if given."""
     return cut(collapse_spaces(c), max_len)
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 _DAY_US = 86_400_000_000
 
-# Extended ISO: date, optional time to the minute or finer, optional offset. The pattern guards
+# Extended ISO: date, optional time to the hour or finer, optional offset. The pattern guards
 # the cast, which on its own would also take '2026' or '12:00'.
-_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
 
 
 def read_iso(t: Column) -> Column:
@@ -22,30 +22,36 @@ def read_iso(t: Column) -> Column:
         .when(t.endswith("Z") | F.substring(t, -6, 1).isin("+", "-"), F.lit(""))
         .otherwise(F.lit("Z"))
     )
-    # The cast wants seconds in front of an offset.
+    # The cast wants minutes and seconds in front of an offset.
     to_second = F.when(
+        F.substring(t, 14, 1).isin("", "Z", "+", "-") & (F.length(t) > 10),
+        F.concat(F.substring(t, 1, 13), F.lit(":00:00"), F.substring(t, 14, 32)),
+    ).when(
         F.substring(t, 17, 1).isin("", "Z", "+", "-") & (F.length(t) > 10),
         F.concat(F.substring(t, 1, 16), F.lit(":00"), F.substring(t, 17, 32)),
     ).otherwise(t)
     return F.when(t.rlike(_ISO), F.concat(to_second, zone).try_cast("timestamp"))
 
 
-def parse_time(t: Column) -> Column:
-    """ISO text or ten-digit epoch seconds (stripped) to timestamp; anything else is NULL."""
+def _epoch(t: Column, pattern: str) -> Column:
+    """Epoch seconds, fractions kept to the microsecond; NULL past year 9999."""
+    seconds = F.when(t.rlike(pattern), t.try_cast("decimal(38,6)"))
     return F.when(
-        t.rlike(r"^\d{10}$"), F.timestamp_seconds(t.try_cast("bigint"))
-    ).otherwise(read_iso(t))
+        seconds < 253402300800, F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
+    )
 
 
-def parse_update_time(t: Column) -> Column:
-    """As :func:`parse_time`, but epoch seconds may have any number of digits.
+def parse_time(t: Column) -> Column:
+    """ISO text or epoch seconds of 9 to 11 digits, with or without a fraction (stripped), to
+    timestamp; anything else is NULL."""
+    epoch = r"^\d{9,11}(?:\.\d+)?$"
+    return F.when(t.rlike(epoch), _epoch(t, epoch)).otherwise(read_iso(t))
 
-    Epochs past year 9999 are not times and give NULL.
-    """
-    seconds = t.try_cast("bigint")
-    return F.when(
-        t.rlike(r"^\d+$"), F.when(seconds < 253402300800, F.timestamp_seconds(seconds))
-    ).otherwise(read_iso(t))
+
+def parse_update_time(t: Column) -> Column:
+    """As :func:`parse_time`, but epoch seconds may have any number of digits."""
+    epoch = r"^\d+(?:\.\d+)?$"
+    return F.when(t.rlike(epoch), _epoch(t, epoch)).otherwise(read_iso(t))
 
 
 def micros_between(later: Column, earlier: Column) -> Column:

@@ -32,16 +32,21 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def zip_directory(spark: SparkSession, ranges: list[tuple] | None = None) -> DataFrame:
-    """zip -> borough, one row per ZIP of the inclusive ``(first, last, borough)`` ranges.
+    """zip -> borough, one row per ZIP of the inclusive ``(first, last, borough)`` ranges; where
+    ranges overlap the first one counts.
 
-    Unrolling the ranges turns the range lookup into a hash join on the ZIP. A five-digit code
-    bounds the table at 100 000 rows whatever the ranges are.
+    Unrolling the ranges turns the range lookup into a hash join on the ZIP. Bounds beyond five
+    digits are refused, so the table has at most 100 000 rows whatever the ranges are.
     """
     ranges = fixed.zip_ranges() if ranges is None else ranges
+    if not all(0 <= lo <= 99_999 and 0 <= hi <= 99_999 for lo, hi, _ in ranges):
+        raise ValueError("ZIP ranges must lie between 0 and 99999")
     shared = [z for z, _ in fixed.shared_zips()]
-    table = literal_table(spark, ["lo", "hi", "zip_borough"], ranges)
+    numbered = [(*r, i) for i, r in enumerate(ranges)]
+    table = literal_table(spark, ["lo", "hi", "zip_borough", "ord"], numbered)
     return (
-        table.select(F.explode(F.sequence("lo", "hi")).alias("n"), "zip_borough")
-        .select(F.lpad(F.col("n").cast("string"), 5, "0").alias("zip"), "zip_borough")
+        table.select(F.explode(F.sequence("lo", "hi")).alias("n"), "zip_borough", "ord")
+        .groupBy(F.lpad(F.col("n").cast("string"), 5, "0").alias("zip"))
+        .agg(F.min_by("zip_borough", "ord").alias("zip_borough"))
         .where(~F.col("zip").isin(shared))
     )

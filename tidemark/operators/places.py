@@ -10,9 +10,6 @@ from tidemark.operators.lookup import zip_directory
 # Height of one latitude band of the polygon index, in degrees (about half a kilometre).
 BAND_DEGREES = 0.005
 
-# The polygon index is broadcast only up to this many edges (about 60 MB in memory).
-MAX_BROADCAST_EDGES = 1_000_000
-
 
 def join_zip_borough(
     df: DataFrame, zip_column: str, ranges: list[tuple] | None = None
@@ -82,10 +79,8 @@ def locate_points(
     if polygons is None:
         return df.withColumn("found_borough", F.lit(None).cast("string"))
     index = band_index(polygons)
-    edges = index.agg(F.sum(F.expr("aggregate(shapes, 0L, (n, s) -> n + size(s.edges))"))).first()[0]
-    if (edges or 0) <= MAX_BROADCAST_EDGES:
-        index = F.broadcast(index)
-    # Otherwise a shuffled join on the band, where AQE splits crowded bands on the point side.
+    # Spark's size check decides between broadcasting the index and a shuffled join on the band,
+    # where AQE splits crowded bands on the point side.
     y, x = F.col(lat), F.col(lon)
     inside = F.filter(
         F.col("shapes"),

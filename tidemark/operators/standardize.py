@@ -20,12 +20,17 @@ def update_time(feed: DataFrame) -> Column:
     )
 
 
-def standardize(feed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def standardize(
+    feed: DataFrame, keep: tuple[str, ...] = (), lengths: dict[str, int] | None = None
+) -> DataFrame:
     """One row in, one row out, whatever the row holds: unreadable values become NULL.
 
     The untouched text stays next to the cleaned value (``*_raw``) where a rule needs to tell
     "empty" from "malformed". ``keep`` names extra feed columns to carry through.
 
+    Texts stay whole. ``lengths`` cuts the named text columns to so many characters, for a target
+    with fixed widths; ``fixed_values.TEXT_LENGTHS`` has a set of them.
+
     The work is split in two projections so that text tidied once is used many times: Spark does
     not merge projections when that would repeat a costly expression.
     """
@@ -54,7 +59,7 @@ def standardize(feed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     typed = tidied.select(
         F.nullif("unique_key", F.lit("")).alias("unique_key"),
         *[times.parse_time(F.col(c)).alias(c) for c in ("created_date", "closed_date")],
-        *[text.cut(F.col(c), n).alias(c) for c, n in TEXT_LENGTHS.items()],
+        *[text.cut(F.col(c), (lengths or {}).get(c)).alias(c) for c in TEXT_LENGTHS],
         F.nullif(text.category_key(F.col("complaint_type")), F.lit("")).alias("category_key"),
         text.borough_name(F.col("borough")).alias("borough"),
         text.zip5(F.col("incident_zip")).alias("incident_zip"),

@@ -91,7 +91,7 @@ def builtin_checks(as_of: Column | None, columns: list[str]) -> dict[str, list[R
             rule(
                 "complaint_type_unrecognized",
                 ~c("known_category"),
-                F.substring("complaint_type_raw", 1, 120),
+                c("complaint_type_raw"),
             ),
         ],
         "dates": [
@@ -105,7 +105,7 @@ def builtin_checks(as_of: Column | None, columns: list[str]) -> dict[str, list[R
         ],
         "zip": [
             rule("zip_missing", zip5.isNull() & text.is_blank(zip_raw)),
-            rule("zip_malformed", zip5.isNull(), F.substring(zip_raw, 1, 64)),
+            rule("zip_malformed", zip5.isNull(), zip_raw),
             rule("zip_outside_nyc", ~geo.zip_in_city(zip5, zip_borough), zip5),
         ],
         "point": [
@@ -251,21 +251,26 @@ def run_counters(validated: DataFrame) -> DataFrame:
     )
 
 
-def rule_counts(validated: DataFrame) -> DataFrame:
-    """rule, severity, ord, failures for every registered rule, those at zero included.
+def rule_counts(
+    validated: DataFrame, extra_checks: dict[str, list[Rule]] | None = None
+) -> DataFrame:
+    """rule, severity, ord, failures for every registered rule and those of ``extra_checks``, as
+    given to :func:`validate`; rules at zero included.
 
     Counts the check columns directly: one row per task is shuffled, nothing is exploded.
     """
     columns = ", ".join(check_columns(validated))
-    names = fixed.rules()
+    known = [(name, severity) for name, severity, _ in fixed.rules()]
+    added = [(r.name, r.severity) for rules in (extra_checks or {}).values() for r in rules]
+    known += dict.fromkeys(a for a in added if a[0] not in dict(known))
     counts = validated.agg(
-        *[F.expr(f"count_if('{name}' IN ({columns}))").alias(name) for name, _, _ in names]
+        *[F.expr(f"count_if('{name}' IN ({columns}))").alias(name) for name, _ in known]
     )
     rows = [
         F.expr(
-            f"named_struct('rule', '{name}', 'severity', '{severity}', 'ord', {i}, 'failures', {name})"
+            f"named_struct('rule', '{name}', 'severity', '{severity}', 'ord', {i}, 'failures', `{name}`)"
         )
-        for i, (name, severity, _) in enumerate(names)
+        for i, (name, severity) in enumerate(known)
     ]
     return counts.select(F.inline(F.array(*rows)))
 
@@ -280,9 +285,10 @@ def replay(payloads: DataFrame, stored: DataFrame, as_of: Column | None = None)
     from tidemark.schema import FEED_SCHEMA
 
     feed = payloads.select(F.from_json("payload", FEED_SCHEMA).alias("r")).select("r.*")
-    now = failure_rows(validate(standardize(feed), as_of), "unique_key").select(
-        "unique_key", "rule", F.lit(1).alias("now")
-    )
+    checked = validate(standardize(feed), as_of)
+    # Names alone: the texts of the failures are not made.
+    names = F.array_compact(F.array(*check_columns(checked)))
+    now = checked.select("unique_key", F.explode(names).alias("rule")).withColumn("now", F.lit(1))
     before = stored.select("unique_key", "rule", F.lit(1).alias("before")).distinct()
     joined = before.join(now.distinct(), ["unique_key", "rule"], "full")
     outcome = (

@@ -226,7 +226,7 @@ FROM std"""
 
 ORACLES["clean_document_text"] = r"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS whole FROM documents)
-SELECT doc_id, substr(nullif(whole, ''), 1, 2000) AS cleaned, length(whole) AS whole_length,
+SELECT doc_id, nullif(whole, '') AS cleaned, substr(nullif(whole, ''), 1, 2000) AS cut_2000, length(whole) AS whole_length,
   md5(whole) AS whole_md5 FROM d"""
 
 ORACLES["category_canonical_counts"] = f"""WITH {_FEED}

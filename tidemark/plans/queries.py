@@ -91,7 +91,8 @@ def clean_document_text(spark, sf_dir):
     docs = derived.read(spark, sf_dir, "documents").select("doc_id", whole.alias("whole"))
     return docs.select(
         "doc_id",
-        text.cut(F.col("whole"), 2000).alias("cleaned"),
+        text.cut(F.col("whole")).alias("cleaned"),
+        text.cut(F.col("whole"), 2000).alias("cut_2000"),
         F.length("whole").cast("bigint").alias("whole_length"),
         F.md5("whole").alias("whole_md5"),
     )
@@ -650,6 +651,9 @@ def run_status(spark, sf_dir):
 # ---- the whole run -------------------------------------------------------------------------
 
 
+LANDED_FILES = 16
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     """A store filled by streaming the landed feed, written as one folder of JSON per day."""
     key = (spark.sparkContext.applicationId, sf_dir, "stream")
@@ -660,9 +664,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> SnapshotStore:
         rows.select(
             F.to_json(F.struct(*fields)).alias("value"), F.to_date("ts").alias("landed_on")
         ).write.partitionBy("landed_on").text(landing)
-        files = spark.read.text(landing).select("_metadata.file_path").distinct().count()
-        # Two micro-batches at any size, so that links and days span batches.
-        cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=max(1, (files + 1) // 2))
+        # A folder a day: links and days span several micro-batches.
+        cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=LANDED_FILES)
         root = new_run_dir(spark, "store")
         ingest.run_stream(SnapshotStore(spark, root), landing, cfg)
         derived._written[key] = root

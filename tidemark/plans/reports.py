@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fixed
 from tidemark.operators.lookup import rule_table
 
 PAGE_COLUMNS = (
@@ -332,12 +333,18 @@ def rule_report(counts: DataFrame, fetched: Column) -> DataFrame:
 
 
 def stored_rule_counts(failures: DataFrame) -> DataFrame:
-    """Counts from the failure table for every registered rule, those without failures at zero."""
-    counted = failures.groupBy("rule").agg(F.count(F.lit(1)).alias("failures"))
+    """Counts from the failure table for every registered rule, those without failures at zero,
+    and for any other rule that failed, after them."""
+    named = "severity" in failures.columns
+    found = F.max("severity") if named else F.lit(None).cast("string")
+    counted = failures.groupBy("rule").agg(F.count(F.lit(1)).alias("failures"), found.alias("found"))
     return (
         rule_table(failures.sparkSession)
-        .join(counted, "rule", "left")
+        .join(counted, "rule", "full")
         .withColumn("failures", F.coalesce("failures", F.lit(0).cast("bigint")))
+        .withColumn("severity", F.coalesce("severity", "found"))
+        .withColumn("ord", F.coalesce("ord", F.lit(len(fixed.rules()))))
+        .drop("found")
     )
 
 

@@ -255,14 +255,15 @@ def _run(store: SnapshotStore, cfg: RunConfig, trigger: str, work) -> dict:
         "watermark_before": before,
     }
     _log_run(store, head, run | counters, next_run=head["next_run"] + 1)
-    error = None
+    # What stays if the run is interrupted rather than failing by itself.
+    error, status = "interrupted", "failed"
     try:
         lost = prune(store, cfg)
         counters["raw_pruned"], counters["clean_pruned"] = lost["raw"], lost["clean"]
         work(run["id"], before, counters)
-        status = "success"
+        error, status = None, "success"
     except Exception as problem:
-        error = f"{type(problem).__name__}: {problem}"[:2000]
+        error = f"{type(problem).__name__}: {problem}"
         # Partial when rows already landed: the next run goes on from there.
         landed = counters["rows_inserted"] or counters["rows_updated"]
         status = "partial" if landed else "failed"
