@@ -67,47 +67,55 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Draws:
-    """The numbers that words draw for each sample."""
+    """The numbers that words draw for each sample.
+
+    A Gamma(2, 1) number r and a b from the unit interval are the same as two exponential numbers
+    d = r (1 - b) and e = r b. At weight 1, where t is 0, a is c / exp(d), so e isn't needed there.
+    """
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        odd = np.random.default_rng(9).integers(0, 2**31, (3, 5 * samples), dtype=np.uint32)
+        odd = np.random.default_rng(9).integers(0, 2**31, (3, 4 * samples), dtype=np.uint32)
         self.factors = odd * np.uint32(2) + np.uint32(1)
         self.light = _Remembered(self._at_weight_1, samples, LIGHT_WORDS)
         self.heavy = _Remembered(self._all, 3 * samples, HEAVY_WORDS)
 
-    def _drawn(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, b and ln c for each hash and sample."""
+    def _uniform(self, hashes: np.ndarray, parts: int) -> np.ndarray:
+        """The first ``parts`` numbers between 0 and 1 for each hash and sample, side by side."""
         low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]
         high = (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+        a, b, c = self.factors[:, : parts * self.samples]
         # 32-bit products wrap; the end is the finaliser of MurmurHash3.
-        x = low * self.factors[0]
-        x += high * self.factors[1]
-        x += self.factors[2]
+        x = low * a
+        x += high * b
+        x += c
         x ^= x >> np.uint32(16)
         x *= np.uint32(0x85EBCA6B)
         x ^= x >> np.uint32(13)
         x *= np.uint32(0xC2B2AE35)
+        # 24 bits of the last step, so that a number never rounds to 1.
         x ^= x >> np.uint32(16)
-        # 24 bits, so that a number never rounds to 1.
         x >>= np.uint32(8)
         u = x.astype(np.float32)
         u += np.float32(0.5)
         u *= np.float32(2.0**-24)
-        n = self.samples
-        r = -np.log(u[:, :n] * u[:, n : 2 * n])
-        ln_c = np.log(-np.log(u[:, 2 * n : 3 * n] * u[:, 3 * n : 4 * n]))
-        return r, u[:, 4 * n :], ln_c
+        return u
 
     def _at_weight_1(self, hashes: np.ndarray, into: np.ndarray) -> None:
-        """ln a at weight 1, where the logarithm and t are 0."""
+        """a at weight 1: c times the first number, which is exp(-d)."""
+        n = self.samples
         for k in range(0, len(hashes), _CHUNK):
-            r, b, ln_c = self._drawn(hashes[k : k + _CHUNK])
-            into[k : k + _CHUNK] = ln_c - r * (1 - b)
+            u = self._uniform(hashes[k : k + _CHUNK], 3)
+            into[k : k + _CHUNK] = -np.log(u[:, n : 2 * n] * u[:, 2 * n :]) * u[:, :n]
 
     def _all(self, hashes: np.ndarray, into: np.ndarray) -> None:
+        """r, b and c."""
+        n = self.samples
         for k in range(0, len(hashes), _CHUNK):
-            into[k : k + _CHUNK] = np.concatenate(self._drawn(hashes[k : k + _CHUNK]), axis=1)
+            u = self._uniform(hashes[k : k + _CHUNK], 4)
+            d, e = -np.log(u[:, :n]), -np.log(u[:, 3 * n :])
+            c = -np.log(u[:, n : 2 * n] * u[:, 2 * n : 3 * n])
+            into[k : k + _CHUNK] = np.concatenate((d + e, e / (d + e), c), axis=1)
 
 
 def bag(text: str) -> Counter[bytes]:
@@ -124,10 +132,10 @@ def sample(counts: Counter[bytes], draws: Draws) -> np.ndarray:
     for at in range(0, len(heavy), HEAVY_WORDS):
         words = heavy[at : at + HEAVY_WORDS]
         drawn = draws.heavy.of(words)
-        r, b, ln_c = drawn[:, :n], drawn[:, n : 2 * n], drawn[:, 2 * n :]
+        r, b, c = drawn[:, :n], drawn[:, n : 2 * n], drawn[:, 2 * n :]
         logs = np.log(np.fromiter(map(counts.__getitem__, words), np.float32, len(words)))
         t = np.floor(logs[:, None] / r + b)
-        _lower(best, chosen, words, ln_c - r * (t - b + 1), t)
+        _lower(best, chosen, words, c * np.exp(-r * (t - b + 1)), t)
     light = [w for w, k in counts.items() if k == 1]
     for at in range(0, len(light), LIGHT_WORDS):
         words = light[at : at + LIGHT_WORDS]
@@ -135,11 +143,11 @@ def sample(counts: Counter[bytes], draws: Draws) -> np.ndarray:
     return chosen
 
 
-def _lower(best: np.ndarray, chosen: np.ndarray, words: list[bytes], ln_a: np.ndarray, t) -> None:
+def _lower(best: np.ndarray, chosen: np.ndarray, words: list[bytes], a: np.ndarray, t) -> None:
     """Takes over the samples where one of the words has a smaller a."""
-    low = np.ascontiguousarray(ln_a.T).argmin(axis=1)
+    low = np.ascontiguousarray(a.T).argmin(axis=1)
     at = np.arange(len(best))
-    values = ln_a[low, at]
+    values = a[low, at]
     better = np.flatnonzero(values < best)
     best[better] = values[better]
     for k in better.tolist():
