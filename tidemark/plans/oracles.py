@@ -553,3 +553,9 @@ SELECT 'success' AS status, (SELECT count(*) FROM feed) AS rows_fetched,
   (SELECT count(*) FROM clean WHERE defect_count > 0) AS defective_rows,
   (SELECT count(*) FROM batch WHERE unique_key IS NOT NULL AND failure_count > 0) AS raw_rows,
   (SELECT count(*) FROM daily) AS agg_rows, (SELECT CAST(min(day) AS VARCHAR) FROM daily) AS agg_since"""
+
+ORACLES["storage_rows"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
+    for t in "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations".split()
+)
