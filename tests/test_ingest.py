@@ -213,6 +213,37 @@ def test_second_writer_is_refused(spark, streamed, tmp_path):
     assert store.head()["watermark"].startswith("2026-08-30 12:00:00")
 
 
+def test_unfinished_commit_does_not_block(spark, tmp_path):
+    root = tmp_path / "store"
+    left = root / "commits" / "version=000000001" / "_temporary" / "0"
+    left.mkdir(parents=True)
+    store = SnapshotStore(spark, str(root))
+    assert store.head()["version"] == 0
+    store.commit(store.head(), watermark="2026-01-01 00:00:00")
+    left = root / "commits" / "version=000000002" / "_temporary" / "0"
+    left.mkdir(parents=True)
+    assert store.head()["version"] == 1
+    assert store.commit(store.head(), watermark="2026-01-02 00:00:00")["version"] == 2
+    assert store.head()["watermark"] == "2026-01-02 00:00:00"
+
+
+def test_a_run_deletes_what_earlier_runs_left(spark, tmp_path):
+    def size(table):
+        return sum(f.stat().st_size for f in (root / table).rglob("*.parquet"))
+
+    root = tmp_path / "store"
+    store = SnapshotStore(spark, str(root))
+    land(tmp_path / "landing", "1.json", PAGE_1)
+    ingest.run_batch(store, feed.read_feed(spark, str(tmp_path / "landing")), CFG)
+    before = size("clean")
+    later = RunConfig(CFG.as_of + timedelta(days=90))
+    assert ingest.prune(store, later)["clean"] == len(PAGE_1) - 4
+    land(tmp_path / "empty", "1.json", [])
+    ingest.run_batch(store, feed.read_feed(spark, str(tmp_path / "empty")), later)
+    assert size("clean") < before and store.read("clean").count() == 0
+    assert len(list((root / "staging").iterdir())) == 1
+
+
 def test_pages_layout_and_profiles(spark, tmp_path):
     land(tmp_path / "lines", "a.json", PAGE_1)
     pages = tmp_path / "pages"

@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 GROUP = ("complaint_type_norm", "address_norm")
 
 
-# Buckets of records that take no part start here, above any bucket of a real time.
-_NO_PART = 2**61
-
-
 def _takes_part(group: tuple[str, ...], time: str, key: str) -> Column:
     """Group and key present and not empty, time present."""
     named = [F.length(F.col(c).cast("string")) > 0 for c in (*group, key)]
@@ -63,7 +59,7 @@ def mark_duplicates(
     """Adds ``is_duplicate_of`` and ``minutes_apart``, both NULL for survivors and for records
     that cannot take part (no group, time or key).
 
-    Records that take no part are spread by key, so a feed full of them does not skew the join.
+    Records that take no part stay out of the join, so a feed full of them does not skew it.
     """
     window_us = int(window_minutes * 60_000_000)
     part = _takes_part(group, time, key)
@@ -78,24 +74,26 @@ def mark_duplicates(
     chained = _chain(_bucket_summary(members, names), names, F.lit(window_us))
     # A bucket holding just the record that opens a cluster has nothing to link.
     linked = chained.where("n > 1 OR NOT starts").select(*names, "_b", "survivor")
-    aside = F.lit(_NO_PART) + F.pmod(F.xxhash64(F.col(key)), F.lit(2**30))
-    keyed = records.withColumns(
-        {
-            "_us": us,
-            "_key": F.col(key).cast("string"),
-            "_bucket": F.when(part, _bucket(us, window_us)).otherwise(aside),
-        }
+    keyed = records.where(part).withColumns(
+        {"_us": us, "_key": F.col(key).cast("string"), "_bucket": _bucket(us, window_us)}
     )
     same = [F.col(c) == F.col(n) for n, c in zip(names, group)]
     out = keyed.join(linked, reduce(and_, same, F.col("_bucket") == F.col("_b")), "left")
     is_link = F.struct(F.col("_us").alias("us"), F.col("_key").alias("key")) != F.col("survivor")
     apart = F.round((F.col("_us") - F.col("survivor.us")) / F.lit(60_000_000), 2)
-    return out.withColumns(
+    marked = out.withColumns(
         {
             "is_duplicate_of": F.when(is_link, F.col("survivor.key")),
             "minutes_apart": F.when(is_link, apart),
         }
     ).drop(*names, "_us", "_key", "_bucket", "_b", "survivor")
+    aside = records.where(~part).withColumns(
+        {
+            "is_duplicate_of": F.lit(None).cast("string"),
+            "minutes_apart": F.lit(None).cast("double"),
+        }
+    )
+    return marked.unionByName(aside)
 
 
 def link_duplicates(

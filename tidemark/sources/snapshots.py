@@ -36,24 +36,37 @@ class SnapshotStore:
     # ---- commits
 
     def head(self) -> dict:
-        """The latest commit record."""
+        """The latest commit record. Commits are found by name; only the latest one is read."""
         try:
-            commits = self.spark.read.text(f"{self.root}/commits")
+            files = self.spark.read.text(f"{self.root}/commits").inputFiles()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            files = []
+        # A commit that was never finished has no file of its own yet.
+        versions = [int(f.split("/version=")[1].split("/")[0]) for f in files]
+        if not versions:
             return copy.deepcopy(_EMPTY)
-        return json.loads(commits.orderBy(F.desc("version")).first()["value"])
+        return json.loads(self.spark.read.text(self._commit(max(versions))).first()["value"])
+
+    def _commit(self, version: int) -> str:
+        return f"{self.root}/commits/version={version:09d}"
 
     def commit(self, head: dict, **changes) -> dict:
-        """Writes the successor of ``head``; fails when another writer got there first."""
+        """Writes the successor of ``head``; refuses a ``head`` that is no longer the latest.
+
+        What a writer that died in mid-commit left in the successor's place is overwritten.
+        """
+        latest = self.head()["version"]
+        if latest != head["version"]:
+            raise ValueError(f"commit {latest} came after commit {head['version']}")
         record = copy.deepcopy(head) | changes | {"version": head["version"] + 1}
         (
             self.spark.range(1)
             .select(F.lit(json.dumps(record)).alias("value"))
             .coalesce(1)
-            .write.mode("errorifexists")
-            .text(f"{self.root}/commits/version={record['version']:09d}")
+            .write.mode("overwrite")
+            .text(self._commit(record["version"]))
         )
         return record
 

@@ -202,7 +202,7 @@ def prune(store: SnapshotStore, cfg: RunConfig) -> dict[str, int]:
     }
     tables, pruned, frozen = dict(head["tables"]), {}, set(head["frozen_days"])
     for table, (time, days) in windows.items():
-        edge = (cfg.as_of - timedelta(days=days)).strftime("%Y-%m-%d")
+        edge = (cfg.as_of - (cfg.as_of.utcoffset() or timedelta()) - timedelta(days=days)).strftime("%Y-%m-%d")
         old = [d for d in store.days(head, table) if d <= edge]
         rows = store.read(table, head, old)
         lost = rows.where(~retention.keeps(time, now, days)).groupBy("part").count().collect()
@@ -210,8 +210,10 @@ def prune(store: SnapshotStore, cfg: RunConfig) -> dict[str, int]:
         if not pruned[table]:
             continue
         hit = [r["part"] for r in lost]
-        left = retention.prune(store.read(table, head, hit), time, now, days)
-        tables[table] = replaced(head, table, hit, store.write_days(table, head, left))
+        # Of the days that lost rows only the one of the cutoff has rows left.
+        left = retention.prune(store.read(table, head, [edge]), time, now, days)
+        written = store.write_days(table, head, left) if edge in hit else []
+        tables[table] = replaced(head, table, hit, written)
         if table == "clean":
             frozen.update(hit)
     if any(pruned.values()):
@@ -242,7 +244,12 @@ def _watermark(head: dict) -> datetime | None:
 
 
 def _run(store: SnapshotStore, cfg: RunConfig, trigger: str, work) -> dict:
-    """Opens a run, prunes, does ``work(run_id, watermark, counters)`` and closes the run."""
+    """Opens a run, prunes, does ``work(run_id, watermark, counters)`` and closes the run.
+
+    First it deletes the files that earlier runs replaced or pruned, so a reader of the latest
+    commit keeps its files until the next run after it begins.
+    """
+    store.vacuum()
     head = store.head()
     before = _watermark(head) or cfg.as_of - timedelta(days=cfg.start_days_back)
     counters = dict.fromkeys(RUN_COUNTERS, 0)
