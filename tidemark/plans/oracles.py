@@ -7,7 +7,7 @@ the SQL compares with box sides; and so on.
 from __future__ import annotations
 
 from tidemark import fixed_values as fixed
-from tidemark.plans.queries import BOXES, ORDERS_AS_OF, SWEEP_MINUTES, WATERMARK
+from tidemark.plans.queries import BOXES, CLEAN_DAYS, ORDERS_AS_OF, SWEEP_MINUTES, WATERMARK
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 ORACLES: dict[str, str] = {}
@@ -559,3 +559,68 @@ ORACLES["storage_rows"] = " UNION ALL ".join(
     for t in "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations".split()
 )
+
+ORACLES["feed_probe"] = f"""WITH {_FEED}
+SELECT count(*) AS rows_returned, coalesce(bool_or(source_updated_at IS NOT NULL), false) AS has_updated_at,
+  {_time("max(source_updated_at)")} AS newest_updated_at,
+  CAST(epoch_us(max(source_updated_at)) // 1000000 AS BIGINT) AS sample_updated_at
+FROM feed"""
+
+# Epochs are divided as whole numbers, ISO spellings are cut by date_trunc.
+ORACLES["time_spellings"] = f"""
+WITH e AS (SELECT event_id, ts, epoch_us(ts) // 1000000 AS s FROM events),
+r AS (
+  SELECT event_id, CASE event_id % 9
+    WHEN 0 THEN make_timestamp(CAST(s * 1000000 + 500000 AS BIGINT))
+    WHEN 1 THEN make_timestamp(CAST(s // 10 * 1000000 AS BIGINT))
+    WHEN 2 THEN date_trunc('hour', ts) WHEN 3 THEN date_trunc('minute', ts)
+    WHEN 4 THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
+    WHEN 5 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE
+    WHEN 6 THEN ts END AS at,
+    CASE event_id % 9 WHEN 7
+      THEN make_timestamp(CAST(strftime(ts, '%Y%m%d') AS BIGINT) * 1000000) END AS short_epoch
+  FROM e
+)
+SELECT event_id, {_time("r.at")} AS as_time, {_time("coalesce(r.at, r.short_epoch)")} AS as_update_time FROM r"""
+
+# The feed with its revisions: accepted ones by update time, linked afresh as whole groups.
+_REVISED = (
+    _FEED.replace("feed AS (", "base AS (", 1).replace(
+        "aliases(label",
+        """feed AS (
+  SELECT * FROM base UNION ALL
+  SELECT * REPLACE (event_id + 1000000000000 AS event_id, source_updated_at + INTERVAL 1 DAY AS source_updated_at,
+    CASE WHEN event_id % 35 <> 0 THEN created_date + INTERVAL 1 DAY END AS created_date)
+  FROM base WHERE event_id % 5 = 0 UNION ALL
+  SELECT * REPLACE (event_id + 2000000000000 AS event_id, source_updated_at - INTERVAL 1 DAY AS source_updated_at,
+    '9 West 77th Street' AS address_raw)
+  FROM base WHERE event_id % 3 = 0
+),
+aliases(label""",
+        1,
+    )
+    + """,
+latest AS (
+  SELECT * FROM accepted
+  QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY source_updated_at DESC) = 1
+),"""
+    + _links("links", "latest", "complaint_type_norm, address_norm", "created_date", "unique_key", 60)
+    + f""",
+clean AS (
+  SELECT a.*, l.duplicate_of AS is_duplicate_of FROM latest a LEFT JOIN links l USING (unique_key)
+),
+kept AS (SELECT * FROM clean WHERE created_date >= {AS_OF} - INTERVAL {CLEAN_DAYS} DAY)"""
+)
+ORACLES["ingest_revisions_clean"] = f"""WITH {_REVISED}
+SELECT unique_key, {_time("k.created_date")} AS created_date, {_time("k.source_updated_at")} AS source_updated_at,
+  address_norm, defect_count, is_duplicate_of FROM kept k"""
+ORACLES["ingest_revisions_daily"] = (
+    f"WITH {_REVISED}, daily AS (" + _rollup("clean") + f") {_DAY_TEXT} daily"
+)
+ORACLES["ingest_revisions_runs"] = f"""WITH {_REVISED}
+SELECT CAST(1 AS BIGINT) AS id, 'success' AS status, (SELECT count(*) FROM feed) AS rows_fetched,
+  (SELECT count(*) FROM latest) AS rows_inserted, true AS any_updated,
+  (SELECT count(*) FROM batch WHERE is_rejected) AS rows_rejected,
+  (SELECT count(*) FROM accepted WHERE failure_count > 0) AS rows_flagged, 0 AS clean_pruned
+UNION ALL
+SELECT 2, 'success', 0, 0, false, 0, 0, (SELECT count(*) FROM clean) - (SELECT count(*) FROM kept)"""

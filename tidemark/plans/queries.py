@@ -7,12 +7,13 @@ engines show them alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig, configure, new_run_dir, timestamp_literal
-from tidemark.functions import geo, text
+from tidemark.functions import geo, text, times
 from tidemark.operators import duplicates, places, retention, rollup, upsert, validate
 from tidemark.operators.lookup import literal_table
 from tidemark.operators.standardize import canonicalize_category, standardize
@@ -589,6 +590,45 @@ def drift_probe(spark, sf_dir):
     return feed.field_profile(payloads.unionByName(events))
 
 
+@query
+def feed_probe(spark, sf_dir):
+    """One row about the landed feed; of the sample only its time, as several records may share it."""
+    rows = derived.landed(spark, sf_dir)
+    fields = rows.drop("event_id", "ts").columns
+    probe = feed.feed_profile(rows.withColumn("payload", F.to_json(F.struct(*fields))))
+    return probe.select(
+        "rows_returned",
+        "has_updated_at",
+        when_text("newest_updated_at").alias("newest_updated_at"),
+        F.get_json_object("sample", "$.updated_at").cast("bigint").alias("sample_updated_at"),
+    )
+
+
+@query
+def time_spellings(spark, sf_dir):
+    """Event times spelled in nine ways, read back: epochs with a fraction or nine digits, ISO to
+    the hour, minute or day, with an offset, and two spellings that are refused."""
+    ts, kind = F.col("ts"), F.col("event_id") % 9
+    seconds = F.floor(F.unix_micros(ts) / 1_000_000)
+    spelled = (
+        F.when(kind == 0, F.concat(seconds.cast("string"), F.lit(".5")))
+        .when(kind == 1, F.floor(seconds / 10).cast("string"))
+        .when(kind == 2, F.date_format(ts, "yyyy-MM-dd'T'HH"))
+        .when(kind == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm"))
+        .when(kind == 4, F.date_format(ts, "yyyy-MM-dd"))
+        .when(kind == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+05:30'"))
+        .when(kind == 6, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        .when(kind == 7, F.date_format(ts, "yyyyMMdd"))
+        .otherwise(F.date_format(ts, "dd.MM.yyyy"))
+    )
+    read = derived.read(spark, sf_dir, "events").select("event_id", spelled.alias("t"))
+    return read.select(
+        "event_id",
+        when_text(times.parse_time(F.col("t"))).alias("as_time"),
+        when_text(times.parse_update_time(F.col("t"))).alias("as_update_time"),
+    )
+
+
 # ---- maintenance and run log ---------------------------------------------------------------
 
 
@@ -737,3 +777,85 @@ def ingest_stream_quality(spark, sf_dir):
     )
     totals = report["totals"].withColumn("agg_since", F.col("agg_since").cast("string"))
     return run.join(totals, how="left")
+
+
+CLEAN_DAYS = 14
+
+
+def _revised(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """A store filled by a feed that sends keys again, then pruned by a second run.
+
+    Half a month later every fifth record comes back a day moved and newer, every 35th in a form
+    that is rejected; a month later every third comes back at another address but older.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "revised")
+    if key not in derived._written:
+        rows = derived.landed(spark, sf_dir)
+        fields = rows.drop("event_id", "ts").columns
+        moved = F.col("created_date").try_cast("timestamp") + F.expr("INTERVAL 1 DAY")
+
+        def sent(part: DataFrame, days: int) -> DataFrame:
+            return part.withColumn("updated_at", F.col("updated_at").cast("string")).select(
+                F.to_json(F.struct(*fields)).alias("value"),
+                F.date_add(F.to_date("ts"), days).alias("landed_on"),
+            )
+
+        newer = rows.where("event_id % 5 = 0").withColumns(
+            {
+                "updated_at": F.col("updated_at").cast("bigint") + 86_400,
+                "created_date": F.when(
+                    F.col("event_id") % 35 != 0,
+                    F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                ),
+            }
+        )
+        older = rows.where("event_id % 3 = 0").withColumns(
+            {
+                "updated_at": F.col("updated_at").cast("bigint") - 86_400,
+                "incident_address": F.lit("9 West 77th Street"),
+            }
+        )
+        landing, root = new_run_dir(spark, "landing"), new_run_dir(spark, "store")
+        everything = sent(rows, 0).unionByName(sent(newer, 15)).unionByName(sent(older, 30))
+        everything.write.partitionBy("landed_on").text(landing)
+        store = SnapshotStore(spark, root)
+        cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=LANDED_FILES)
+        ingest.run_stream(store, landing, cfg)
+        # Nothing new has landed for the second run; it only prunes.
+        ingest.run_stream(store, landing, replace(cfg, clean_retention_days=CLEAN_DAYS))
+        derived._written[key] = root
+    return SnapshotStore(spark, derived._written[key])
+
+
+@query
+def ingest_revisions_clean(spark, sf_dir):
+    return _revised(spark, sf_dir).read("clean").select(
+        "unique_key",
+        when_text("created_date").alias("created_date"),
+        when_text("source_updated_at").alias("source_updated_at"),
+        "address_norm",
+        F.col("defect_count").cast("bigint").alias("defect_count"),
+        "is_duplicate_of",
+    )
+
+
+@query
+def ingest_revisions_daily(spark, sf_dir):
+    """Daily figures keep what retention has taken from the served table."""
+    return _day_text(_revised(spark, sf_dir).read("daily").drop("part", "computed_at"))
+
+
+@query
+def ingest_revisions_runs(spark, sf_dir):
+    """Counters of both runs that don't depend on how files fall into batches, and whether any
+    update was counted."""
+    return _revised(spark, sf_dir).read("runs").select(
+        "id",
+        "status",
+        "rows_fetched",
+        "rows_inserted",
+        (F.col("rows_updated") > 0).alias("any_updated"),
+        "rows_rejected",
+        "rows_flagged",
+        "clean_pruned",
+    )
