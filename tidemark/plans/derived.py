@@ -14,6 +14,7 @@ from tidemark.operators.rollup import rollup
 from tidemark.operators.standardize import standardize
 from tidemark.operators.validate import accepted, validate
 from tidemark.schema import CLEAN_FIELDS
+from tidemark.sources.feed import ARRIVED
 
 AS_OF_TIME = datetime(2024, 2, 1)
 DEDUP_MINUTES = 60
@@ -102,18 +103,31 @@ def derived_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _written: dict[tuple, str] = {}
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _staged(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], by: tuple[str, ...] = ()
+) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = new_run_dir(spark, name)
-        build().write.parquet(path)
+        rows = build().hint("rebalance", *by) if by else build()
+        rows.write.partitionBy(*by).parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived feed as a landing table, all text, by day of arrival."""
+
+    def build() -> DataFrame:
+        day = F.to_date(F.timestamp_seconds(F.col("updated_at").cast("bigint")))
+        return derived_feed(spark, sf_dir).withColumn(ARRIVED, day)
+
+    return _staged(spark, sf_dir, "feed", build, (ARRIVED,))
+
+
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived feed as a landing table, all text."""
-    return _staged(spark, sf_dir, "feed", lambda: derived_feed(spark, sf_dir))
+    """The whole landing table."""
+    return arrivals(spark, sf_dir).drop(ARRIVED)
 
 
 def validated_now(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -568,13 +568,13 @@ def storage_rows(spark, sf_dir):
 
 @query
 def incremental_scan(spark, sf_dir):
-    rows = feed.since(derived.landed(spark, sf_dir), timestamp_literal(WATERMARK))
+    rows = feed.since(derived.arrivals(spark, sf_dir), timestamp_literal(WATERMARK))
     return rows.select("event_id", when_text("source_updated_at").alias("source_updated_at"))
 
 
 @query
 def next_watermark(spark, sf_dir):
-    rows = feed.since(derived.landed(spark, sf_dir), feed.start_watermark(derived.as_of(), 3))
+    rows = feed.since(derived.arrivals(spark, sf_dir), feed.start_watermark(derived.as_of(), 3))
     return rows.agg(
         F.count(F.lit(1)).alias("rows_fetched"),
         when_text(feed.next_watermark(F.max("source_updated_at"))).alias("watermark"),
@@ -719,8 +719,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> SnapshotStore:
         fields = rows.drop("event_id", "ts").columns
         landing = new_run_dir(spark, "landing")
         rows.select(
-            F.to_json(F.struct(*fields)).alias("value"), F.to_date("ts").alias("landed_on")
-        ).write.partitionBy("landed_on").text(landing)
+            F.to_json(F.struct(*fields)).alias("value"), F.to_date("ts").alias(feed.ARRIVED)
+        ).hint("rebalance", feed.ARRIVED).write.partitionBy(feed.ARRIVED).text(landing)
         # A folder a day: links and days span several micro-batches.
         cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=LANDED_FILES)
         root = new_run_dir(spark, "store")
@@ -797,7 +797,7 @@ def _revised(spark: SparkSession, sf_dir: str) -> SnapshotStore:
         def sent(part: DataFrame, days: int) -> DataFrame:
             return part.withColumn("updated_at", F.col("updated_at").cast("string")).select(
                 F.to_json(F.struct(*fields)).alias("value"),
-                F.date_add(F.to_date("ts"), days).alias("landed_on"),
+                F.date_add(F.to_date("ts"), days).alias(feed.ARRIVED),
             )
 
         newer = rows.where("event_id % 5 = 0").withColumns(
@@ -817,7 +817,8 @@ def _revised(spark: SparkSession, sf_dir: str) -> SnapshotStore:
         )
         landing, root = new_run_dir(spark, "landing"), new_run_dir(spark, "store")
         everything = sent(rows, 0).unionByName(sent(newer, 15)).unionByName(sent(older, 30))
-        everything.write.partitionBy("landed_on").text(landing)
+        days = everything.hint("rebalance", feed.ARRIVED)
+        days.write.partitionBy(feed.ARRIVED).text(landing)
         store = SnapshotStore(spark, root)
         cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=LANDED_FILES)
         ingest.run_stream(store, landing, cfg)

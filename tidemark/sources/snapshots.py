@@ -21,6 +21,8 @@ _EMPTY = {
     "version": 0,
     "watermark": None,
     "batches": {},
+    "replays": 0,
+    "replay_from": None,
     "next_run": 1,
     "frozen_days": [],
     "tables": {},

@@ -16,7 +16,7 @@ from tidemark.config import RunConfig, timestamp_literal
 from tidemark.operators import duplicates, places, retention, rollup, upsert, validate
 from tidemark.operators.standardize import standardize, update_time
 from tidemark.schema import CLEAN_FIELDS, RUN_COUNTERS
-from tidemark.sources.feed import stream_feed
+from tidemark.sources.feed import first_arrival, read_feed, stream_feed
 from tidemark.sources.snapshots import SnapshotStore, appended, replaced
 
 _GROUP = list(duplicates.GROUP)
@@ -294,6 +294,15 @@ def _add(counters: dict, batch: dict | None) -> None:
         counters[name] += n
 
 
+def _start(cfg: RunConfig, before: datetime, reset_watermark: bool) -> datetime:
+    return cfg.as_of - timedelta(days=cfg.start_days_back) if reset_watermark else before
+
+
+def _updated_since(feed: DataFrame, start: datetime) -> DataFrame:
+    # A record without any update time cannot be placed in time and is always looked at.
+    return feed.where(F.coalesce(update_time(feed) >= timestamp_literal(start), F.lit(True)))
+
+
 def run_batch(
     store: SnapshotStore,
     feed: DataFrame,
@@ -302,13 +311,31 @@ def run_batch(
     reset_watermark: bool = False,
     polygons: DataFrame | None = None,
 ) -> dict:
-    """One run over the records updated since the watermark, as a single batch."""
+    """One run over the records of ``feed`` updated since the watermark, as a single batch."""
+
+    def work(run_id: int, before: datetime, counters: dict) -> None:
+        recent = _updated_since(feed, _start(cfg, before, reset_watermark))
+        _add(counters, apply_batch(store, recent, cfg, run_id, polygons=polygons))
+
+    return _run(store, cfg, trigger, work)
+
+
+def run_landed(
+    store: SnapshotStore,
+    landing: str,
+    cfg: RunConfig,
+    layout: str = "lines",
+    trigger: str = "manual",
+    reset_watermark: bool = False,
+    polygons: DataFrame | None = None,
+) -> dict:
+    """As :func:`run_batch`, over a landing folder; of one laid out by day of arrival only the
+    days that may hold records updated since the watermark are read."""
 
     def work(run_id: int, before: datetime, counters: dict) -> None:
-        start = cfg.as_of - timedelta(days=cfg.start_days_back) if reset_watermark else before
-        updated = update_time(feed)
-        # A record without any update time cannot be placed in time and is always looked at.
-        recent = feed.where(F.coalesce(updated >= timestamp_literal(start), F.lit(True)))
+        start = _start(cfg, before, reset_watermark)
+        rows = read_feed(store.spark, landing, layout, first_arrival(start))
+        recent = _updated_since(rows, start)
         _add(counters, apply_batch(store, recent, cfg, run_id, polygons=polygons))
 
     return _run(store, cfg, trigger, work)
@@ -326,17 +353,24 @@ def run_stream(
     """One run over the files that are new in the landing folder, in micro-batches.
 
     The file source's checkpoint remembers what was read; a record that arrives late is simply a
-    revision, so nothing is dropped by event time.
+    revision, so nothing is dropped by event time. After :func:`reset_watermark` a new checkpoint
+    begins, and what has arrived since the reset watermark is read once more.
     """
 
     def work(run_id: int, before: datetime, counters: dict) -> None:
+        head = store.head()
+        replays = head.get("replays", 0)
+        source = f"{name}-{replays}" if replays else name
+
         def each(rows: DataFrame, number: int) -> None:
-            _add(counters, apply_batch(store, rows, cfg, run_id, (name, number), polygons))
+            _add(counters, apply_batch(store, rows, cfg, run_id, (source, number), polygons))
 
+        rows = stream_feed(
+            store.spark, landing, layout, cfg.max_files_per_trigger, head.get("replay_from")
+        )
         stream = (
-            stream_feed(store.spark, landing, layout, cfg.max_files_per_trigger)
-            .writeStream.foreachBatch(each)
-            .option("checkpointLocation", f"{store.root}/checkpoints/{name}")
+            rows.writeStream.foreachBatch(each)
+            .option("checkpointLocation", f"{store.root}/checkpoints/{source}")
             .trigger(availableNow=True)
             .start()
         )
@@ -346,9 +380,16 @@ def run_stream(
 
 
 def reset_watermark(store: SnapshotStore, cfg: RunConfig, days_back: int | None = None) -> datetime:
+    """Moves the watermark back, for batch scans and streams alike."""
     days = cfg.start_days_back if days_back is None else days_back
     moment = cfg.as_of - timedelta(days=days)
-    store.commit(store.head(), watermark=moment.strftime("%Y-%m-%d %H:%M:%S.%f"))
+    head = store.head()
+    store.commit(
+        head,
+        watermark=moment.strftime("%Y-%m-%d %H:%M:%S.%f"),
+        replays=head.get("replays", 0) + 1,
+        replay_from=first_arrival(moment),
+    )
     return moment
 
 
