@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -469,6 +470,66 @@ def test_passages(spark, awkward, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+def planted_pairs(rng, new):
+    """Texts by id; those of 2n and 2n + 1 share a passage with words replaced evenly or at random."""
+    texts, n = {}, 0
+    for words, similarity in itertools.product((50, 60, 100), (0.8, 0.85, 0.9)):
+        for evenly in (True, False) * 6:
+            edits = math.floor(words * (1 - similarity) + 1e-9)
+            own, places = new(words), range(1, words - 1)
+            picked = [round((i + 1) * words / (edits + 1)) for i in range(edits)] if evenly else rng.sample(places, edits)
+            other = [new(1)[0] if i in picked else w for i, w in enumerate(own)]
+            texts[2 * n], texts[2 * n + 1] = new(30) + own + new(25), new(8) + other + new(40)
+            n += 1
+    return texts
+
+
+def equal_in_place(a: list, b: list) -> float:
+    """Brute force: the best share of equal words of 50 or more in a row, over all shifts of the texts."""
+    best = 0.0
+    for shift in range(-len(b) + 50, len(a) - 49):
+        pairs = [x == y for x, y in zip(a[max(shift, 0) :], b[max(-shift, 0) :])]
+        total = [0, *itertools.accumulate(pairs)]
+        best = max([best, *((total[j] - total[i]) / (j - i) for i in range(len(pairs)) for j in range(i + 50, min(i + 101, len(total))))])
+    return best
+
+
+def test_passages_recall(spark):
+    rng = random.Random(5)
+    fresh = iter(range(10**6))
+    texts = planted_pairs(rng, lambda n: [f"w{next(fresh)}" for _ in range(n)])
+    wanted = {n for n in texts if equal_in_place(texts[n], texts[n ^ 1]) >= passages.SIMILARITY}
+    assert len(wanted) == len(texts)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = passages.repeated_passages(frame).collect()
+    assert {r.doc_id for r in got} == wanted
+    assert all(r.other_id in (None, r.doc_id ^ 1) for r in got)
+
+
+def test_passages_of_lines_held_elsewhere(spark):
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    texts, wanted = {}, set()
+    for copies in (1, 12):
+        for _ in range(20):
+            lines = [new(19) for _ in range(3)]
+            for line in lines:
+                for _ in range(copies):
+                    texts[len(texts)] = new(rng.randrange(20)) + line + new(9)
+            n = len(texts)
+            texts[n], texts[n + 1] = new(20) + sum(lines, []) + new(20), new(5) + sum(lines, []) + new(7)
+            # The lines in a text of three other passages are no passage of it.
+            texts[n + 2] = new(3) + sum((line + new(30) for line in lines), [])
+            wanted |= {n, n + 1}
+    ids = list(texts)
+    rng.shuffle(ids)
+    frame = spark.createDataFrame([(ids[i], " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = passages.repeated_passages(frame).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(ids[n], ids[m]) for n in wanted for m in (n - 1, n + 1) if m in wanted and abs(n - m) == 1 and texts[n][-8:] != texts[m][-8:]}
+    assert all(r.stop - r.start == 57 and r.equal == 57 for r in got)
+
+
 def test_chains_against_all_predecessors():
     rng = random.Random(3)
     for _ in range(30):
