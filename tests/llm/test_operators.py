@@ -428,6 +428,23 @@ def test_html(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="nav hidden menu"><p title="the hidden valley">a<p>b', "a\n\nb"),
+        ("<div aria-label='show hidden items'>a</div><i alt=' hidden '>b</i>", "a\nb"),
+        ("<p data-x=' style=display:none '>a<p style='background: url(\"; display: none\")'>b", "a\n\nb"),
+        ("<p x-hidden>a<p data-hidden=1>b<p style='x-display: none'>c", "a\n\nb\n\nc"),
+        ("a<p hidden>no<p HIDDEN=''>no<p class=x hidden/>no<p style=\"color:red;DISPLAY : None !important\">no", "a"),
+        ("<p style='/* x */ visibility:hidden'>no<p style='display:none;display:block'>a<p hidden=false>b", "a\n\nb"),
+        ("<table><tr><td>a<td>b ||<tr><td>c |<td></table>", "a   | b ||\nc |"),
+        ("<ol start=12345><li>a<li>b</ol><ol start='-2'><li>c</ol>", "12345. a\n12346. b\n\n-2. c"),
+    ],
+)
+def test_html_attributes(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_table(spark):
     rows = [(1, "<p>x", "c"), (None, None, "c"), (1, "<p>x", "c")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string"))

@@ -50,23 +50,62 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>=]|=)*+)(?:>|\Z)",
     re.S,
 )
-_HIDDEN = re.compile(
-    r"(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?false)"
-    r"|\sstyle\s*=\s*(?:\"[^\"]*?|'[^']*?|[^\s\"']*?)(?:display\s*:\s*none|visibility\s*:\s*hidden)",
-    re.I,
-)
-_NUMBER = re.compile(r"\b(start|colspan)\s*=\s*[\"']?\s*(\d{1,4})", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?", re.S)
+#: What the attributes of an element that may be hidden hold.
+_MAYBE_HIDDEN = re.compile(r"hidden|display|&#", re.I)
+#: Parts of a style that hold no declarations.
+_INERT = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z)", re.S)
+_INTEGER = re.compile(r"\s*([+-]?\d{1,9})(?!\d)", re.A)
+MOST_COLSPAN = 1000  # as HTML has it
 _SPACE = re.compile(r"[ \t\n\r\f\xa0]+")
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name, of equal names the first; a name alone has the empty value."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def declarations(style: str) -> dict[str, str]:
+    """Values by property of a style attribute, in lower case."""
+    found: dict[str, str] = {}
+    urgent = set()
+    for part in _INERT.sub(" ", style).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        name, value = name.strip(), value.strip()
+        if value and (mark or name not in urgent):
+            found[name] = value
+            if mark:
+                urgent.add(name)
+    return found
+
+
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "_values")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children = name, attrs, []
+        self.name, self.attrs, self.children, self._values = name, attrs, [], None
+
+    def values(self) -> dict[str, str]:
+        if self._values is None:
+            self._values = attributes(self.attrs)
+        return self._values
 
     def number(self, attr: str, default: int) -> int:
-        return next((int(m[2]) for m in _NUMBER.finditer(self.attrs) if m[1].lower() == attr), default)
+        found = _INTEGER.match(self.values().get(attr, "")) if self.attrs else None
+        return int(found[1]) if found else default
+
+    def hidden(self) -> bool:
+        if not self.attrs or not _MAYBE_HIDDEN.search(self.attrs):
+            return False
+        values = self.values()
+        if values.get("hidden", "false").strip().lower() != "false":
+            return True
+        style = declarations(values.get("style", ""))
+        return style.get("display") == "none" or style.get("visibility") == "hidden"
 
 
 class Builder:
@@ -247,7 +286,7 @@ def _table(table: Node, out: Lines, nested: int) -> None:
         row: list[list[str]] = []
         for cell in cells:
             row.append(render(cell, nested + 1).split("\n"))
-            span = cell.number("colspan", 1)
+            span = min(cell.number("colspan", 1), MOST_COLSPAN)
             if span > 1:
                 spanning.add((len(rows), len(row) - 1))
             row += [[""]] * (span - 1)
@@ -261,13 +300,15 @@ def _table(table: Node, out: Lines, nested: int) -> None:
     for row in rows:
         for k in range(max(map(len, row))):
             parts = [(c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths)]
+            while parts and not parts[-1].strip(" "):
+                parts.pop()
             out.block(1)
-            out.write(" | ".join(parts).rstrip(" |") or " ", True)
+            out.write(" | ".join(parts).rstrip(" ") or " ", True)
     out.block(1)
 
 
 def _unseen(node: Node) -> bool:
-    return node.name in UNSEEN or bool(node.attrs and _HIDDEN.search(node.attrs))
+    return node.name in UNSEEN or node.hidden()
 
 
 def render(root: Node, nested: int = 0) -> str:
