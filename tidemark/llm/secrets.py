@@ -52,26 +52,31 @@ class EntropyClass:
     bits: float
 
 
+# Runs of hex in any case, whatever they are joined to; a run as long as a window is enough.
 CLASSES = (
-    EntropyClass("entropy_hex", "0123456789ABCDEF", r"\b[0-9A-F]{24,}\b", 20, 3.0),
+    EntropyClass("entropy_hex", "0123456789ABCDEFabcdef", r"[0-9A-Fa-f]{20,}", 20, 3.0),
     EntropyClass(
         "entropy_base64",
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
-        r"[A-Za-z0-9+/_-]{24,}",
+        r"[A-Za-z0-9+/_-]{20,}",
         20,
         3.6,
     ),
 )
 
+_WORD = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+_MARKED = r"[A-Za-z0-9+]*(?i:abcdefgh|01234567|example|placeholder|x{6,})[A-Za-z0-9+]*"
+
 #: Candidates that are no secrets, or that a kind above has: without digits or digits alone, lower
-#: hex, words and numbers joined by - _ or /, UUIDs, alphabets in order, and marked examples.
+#: hex, words and numbers joined by - _ or /, UUIDs. Alphabets in order and marked examples count
+#: for the segment between - _ and / that holds them: the others must be words or numbers.
 ALLOWED = (
     r"^[^0-9]+$",
     r"^[0-9]+$",
-    r"^[0-9a-f]+$",
-    r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))+$",
+    r"^[0-9a-f]{24,}$",
+    rf"^(?:{_WORD})(?:[-_/]+(?:{_WORD}))+$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefgh|01234567|example|placeholder|x{6,}",
+    rf"^[-_/]*(?:{_MARKED}|{_WORD})(?:[-_/]+(?:{_MARKED}|{_WORD}))*[-_/]*$",
 )
 
 
