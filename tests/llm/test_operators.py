@@ -218,6 +218,17 @@ def test_mixing(awkward, nothing):
     assert mixing.mixing_plan(nothing).count() == 0
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    made = ("size", "source_size", "target", "rate", "copies")
+    rows = [(i, prose(i, 20), f"s{i % 3}", *[f"{c}{i}" for c in made]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in made))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
+    bare_docs = mixing.mix(docs.select("doc_id", "text", "source")).collect()
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in bare_docs)
+
+
 def test_mixing_comes_near_targets(spark):
     rows = [(i, prose(i, 20 + i % 60), "big" if i % 3 else f"s{i % 7}") for i in range(2500)]
     plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

@@ -121,6 +121,10 @@ def mixing_plan(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed rows: each row of ``docs`` as often as its plan says, with the columns of ``docs``."""
-    copies = mixing_plan(docs, id_col, source, text)
+    # Under names of their own: the plan replaces columns with the names of its figures.
+    names = [f"__in_{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    plan = mixing_plan(docs.toDF(*names), *[at[c.lower()] for c in (id_col, source, text)])
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return copies.where("copies > 0").select("*", each.alias("__copy")).select(*docs.columns)
+    mixed = plan.where("copies > 0").select("*", each.alias("__copy")).select(*names)
+    return mixed.toDF(*docs.columns)
