@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by multi-index hashing.
+"""SimHash fingerprints and near-duplicate groups by full-key neighbourhoods.
 
 A fingerprint is cut into two segments of 32 bits. Two fingerprints at 2 or fewer differing bits
 differ by at most one bit in one of the segments, or by two bits in one and none in the other. Each
