@@ -12,6 +12,7 @@ from tidemark.llm import (
     html_text,
     mixing,
     passages,
+    periods,
     quality,
     secrets,
     simhash,
@@ -114,6 +115,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of which are made to repeat."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.periodic_runs(periods.with_planted_runs(docs))
+    best = periods.strongest(F.col("runs"))
+    marked = found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(periods.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return marked.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,5 +152,6 @@ QUERIES = {
         op8_html_text,
         op9_weighted_sampling,
         op10_token_counts,
+        op11_periodic_runs,
     )
 }
