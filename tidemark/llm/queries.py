@@ -13,6 +13,7 @@ from tidemark.llm import (
     mixing,
     passages,
     periods,
+    pii,
     quality,
     secrets,
     simhash,
@@ -139,6 +140,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: plain, and behind disguises."""
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[pii.counted(spans, k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(pii.plain_spans(spans)).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -153,5 +166,6 @@ QUERIES = {
         op9_weighted_sampling,
         op10_token_counts,
         op11_periodic_runs,
+        op12_personal_data,
     )
 }
