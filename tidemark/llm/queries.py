@@ -19,6 +19,7 @@ from tidemark.llm import (
     simhash,
     token_counts,
     weighted_sampling,
+    whitening,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -152,6 +153,11 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened by their first components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -167,5 +173,6 @@ QUERIES = {
         op10_token_counts,
         op11_periodic_runs,
         op12_personal_data,
+        op13_embedding_whitening,
     )
 }
