@@ -312,6 +312,17 @@ ORACLES["dup_links_events"] = (
     + " SELECT * FROM links"
 )
 ORACLES["dup_links_feed"] = f"WITH {_CLEAN} SELECT * FROM links"
+ORACLES["incremental_links"] = (
+    """WITH moved AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_key, event_type,
+    CASE WHEN event_id % 7 = 0 THEN user_id % 5 ELSE user_id END AS user_id,
+    CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 90 MINUTE ELSE ts END AS ts
+  FROM events
+),"""
+    + _links("links", "moved", "event_type, user_id", "ts", "event_key", 60)
+    + """ SELECT event_key AS unique_key, duplicate_of AS is_duplicate_of
+FROM moved m LEFT JOIN links l ON l.unique_key = m.event_key"""
+)
 ORACLES["cluster_sizes"] = (
     f"WITH {_EVENTS}," + _links("links", "keyed", "event_type, user_id", "ts", "event_key", 1440)
     + " SELECT duplicate_of, count(*) AS absorbed FROM links GROUP BY 1"

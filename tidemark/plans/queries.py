@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig, configure, new_run_dir, timestamp_literal
 from tidemark.functions import geo, text, times
-from tidemark.operators import duplicates, places, retention, rollup, upsert, validate
+from tidemark.operators import duplicates, incremental, places, retention, rollup, upsert, validate
 from tidemark.operators.lookup import literal_table
 from tidemark.operators.standardize import canonicalize_category, standardize
 from tidemark.plans import derived, reports
 from tidemark.schema import RUN_COUNTERS
 from tidemark.sources import feed
 from tidemark.sources.snapshots import SnapshotStore
+from tidemark.sources.staging import written, written_by_day
 from tidemark.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,6 +323,42 @@ def apply_links(spark, sf_dir):
     return duplicates.apply_links(rows, links).select("unique_key", "is_duplicate_of")
 
 
+def _moves(rows: DataFrame, revision: int) -> DataFrame:
+    """Events as a later revision has them: from the first on every fifth comes 90 minutes later, in
+    the second every seventh belongs to another user."""
+    later = F.when(F.col("event_id") % 5 == 0, F.col("ts") + F.expr("INTERVAL 90 MINUTES"))
+    other = F.when(F.col("event_id") % 7 == 0, F.col("user_id") % 5)
+    moved = {"ts": F.coalesce(later, "ts")} | ({"user_id": F.coalesce(other, "user_id")} if revision > 1 else {})
+    return rows.withColumns(moved)
+
+
+@query
+def incremental_links(spark, sf_dir):
+    """Links of events after three batches, each batch walked outward from what it touched: the events
+    before the watermark, then the others with the first revision, then the second."""
+    columns = ["unique_key", *EVENT_GROUP, "ts"]
+    events = _events(spark, sf_dir).select("event_id", *columns)
+    stored = events.where(F.col("ts") < timestamp_literal(WATERMARK))
+    now = [stored.select(*columns), _moves(events, 1).select(*columns), _moves(events, 2).select(*columns)]
+    links = duplicates.mark_duplicates(now[0], derived.DEDUP_MINUTES, EVENT_GROUP, "ts")
+    links = links.select("unique_key", "is_duplicate_of")
+    for batch in (1, 2):
+        was, new = now[batch - 1], now[batch]
+        changed = new.join(was, columns, "left_anti")
+        gone = was.join(changed.select("unique_key"), "unique_key", "left_semi")
+        table = written_by_day(new, "ts", f"events-{batch}")
+        walked = incremental.relink(
+            lambda days, t=table: t.where(F.col("part").isin(days)),
+            changed.select(*columns).unionByName(gone.select(*columns)),
+            derived.DEDUP_MINUTES,
+            EVENT_GROUP,
+            "ts",
+        )
+        fresh = written(walked.select("unique_key", "is_duplicate_of"), f"links-{batch}")
+        links = links.join(fresh, "unique_key", "left_anti").unionByName(fresh)
+    return links
+
+
 # ---- revisions and upserts -----------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig, timestamp_literal
-from tidemark.operators import duplicates, places, retention, rollup, upsert, validate
+from tidemark.operators import duplicates, incremental, places, retention, rollup, upsert, validate
 from tidemark.operators.standardize import standardize, update_time
 from tidemark.schema import CLEAN_FIELDS, RUN_COUNTERS
 from tidemark.sources.feed import first_arrival, read_feed, stream_feed
@@ -55,7 +55,7 @@ def apply_batch(
     checked = store.stage("checked", head, validate.validate(records, now))
     counts = validate.run_counters(checked).first().asDict()
     keyed = checked.where(F.col("unique_key").isNotNull())
-    newest = [F.desc_nulls_last("source_updated_at"), F.desc("payload")]
+    newest = [F.desc_nulls_last("source_updated_at"), F.xxhash64("payload")]
 
     # Upsert: only newer revisions get in.
     stored = store.read("clean", head)
@@ -70,23 +70,20 @@ def apply_batch(
     applied = changes.where("change <> 'stale'")
     by_change = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     keys = applied.select("unique_key")
-    before = stored.join(keys, "unique_key", "left_semi").select("unique_key", "part", *_GROUP)
-
-    # Links: every group that gained, lost or changed a record is clustered afresh as a whole.
-    groups = duplicates.touched_groups(applied.select(*_GROUP).unionByName(before.select(*_GROUP)))
     narrow = ["unique_key", *_GROUP, "created_date", "part"]
-    untouched = stored.join(keys, "unique_key", "left_anti")
-    members = (
-        untouched.select(*narrow, F.col("is_duplicate_of").alias("was"))
-        .unionByName(applied.select(*narrow), allowMissingColumns=True)
-        .join(groups, _GROUP, "left_semi")
-    )
+    before = store.stage("before", head, stored.join(keys, "unique_key", "left_semi").select(*narrow))
+
+    # Links: clusters are walked outward from where a record was or is now, day by day.
+    def as_they_are_now(days: list[str]) -> DataFrame:
+        kept = store.read("clean", head, days).join(keys, "unique_key", "left_anti")
+        return kept.select(*narrow, F.col("is_duplicate_of").alias("was")).unionByName(
+            applied.where(F.col("part").isin(days)).select(*narrow), allowMissingColumns=True
+        )
+
+    touched = applied.select(*narrow).unionByName(before).select(*_GROUP, "created_date")
+    linked = incremental.relink(as_they_are_now, touched, cfg.dedup_window_minutes)
     marked = store.stage(
-        "marked",
-        head,
-        duplicates.mark_duplicates(members, cfg.dedup_window_minutes).select(
-            "unique_key", "part", "was", F.col("is_duplicate_of").alias("now")
-        ),
+        "marked", head, linked.select("unique_key", "part", "was", F.col("is_duplicate_of").alias("now"))
     )
     moved = ~F.col("now").eqNullSafe(F.col("was"))
     links = marked.agg(
