@@ -115,6 +115,16 @@ def _staged(
     return spark.read.parquet(_written[key])
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, fill: Callable[[str], None]) -> str:
+    """A folder that ``fill`` has filled, once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = new_run_dir(spark, name)
+        fill(path)
+        _written[key] = path
+    return _written[key]
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived feed as a landing table, all text, by day of arrival."""
 

@@ -323,6 +323,18 @@ ORACLES["incremental_links"] = (
     + """ SELECT event_key AS unique_key, duplicate_of AS is_duplicate_of
 FROM moved m LEFT JOIN links l ON l.unique_key = m.event_key"""
 )
+ORACLES["live_clusters"] = f"""
+WITH gaps AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS opens
+  FROM events WHERE event_type <> '' AND user_id IS NOT NULL AND ts IS NOT NULL
+  WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)
+), numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id
+    ROWS UNBOUNDED PRECEDING) AS cluster FROM gaps
+)
+SELECT event_type, user_id, {_time("min(ts)")} AS first_at, {_time("max(ts)")} AS last_at,
+  arg_min(CAST(event_id AS VARCHAR), (ts, CAST(event_id AS VARCHAR))) AS survivor, count(*) AS members
+FROM numbered GROUP BY event_type, user_id, cluster"""
 ORACLES["cluster_sizes"] = (
     f"WITH {_EVENTS}," + _links("links", "keyed", "event_type, user_id", "ts", "event_key", 1440)
     + " SELECT duplicate_of, count(*) AS absorbed FROM links GROUP BY 1"

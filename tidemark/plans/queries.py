@@ -23,6 +23,7 @@ from tidemark.sources import feed
 from tidemark.sources.snapshots import SnapshotStore
 from tidemark.sources.staging import written, written_by_day
 from tidemark.streaming import ingest
+from tidemark.streaming.live_clusters import LiveClusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -323,6 +324,36 @@ def apply_links(spark, sf_dir):
     return duplicates.apply_links(rows, links).select("unique_key", "is_duplicate_of")
 
 
+def _watched(spark: SparkSession, sf_dir: str) -> LiveClusters:
+    """Live clusters of the events, streamed in two runs; every tenth event of the day before the
+    watermark comes late, with the second."""
+    root = derived.once(spark, sf_dir, "live", lambda folder: _watch(spark, sf_dir, folder))
+    return LiveClusters(spark, root, derived.DEDUP_MINUTES, "2 days", EVENT_GROUP, "ts")
+
+
+def _watch(spark: SparkSession, sf_dir: str, root: str) -> None:
+    events = _events(spark, sf_dir).select("event_id", "unique_key", *EVENT_GROUP, "ts")
+    edge = timestamp_literal(WATERMARK)
+    late = (F.col("ts") >= edge - F.expr("INTERVAL 1 DAY")) & (F.col("event_id") % 10 == 0)
+    second = (F.col("ts") >= edge) | late
+    live = LiveClusters(spark, root, derived.DEDUP_MINUTES, "2 days", EVENT_GROUP, "ts")
+    for part in (events.where(~second), events.where(second)):
+        part.write.mode("append").parquet(f"{root}/landing")
+        live.run(spark.readStream.schema(events.schema).parquet(f"{root}/landing"))
+
+
+@query
+def live_clusters(spark, sf_dir):
+    """Clusters of the events as a stream counted them: closed ones, and open ones from its state."""
+    return _watched(spark, sf_dir).all().select(
+        *EVENT_GROUP,
+        when_text("first_at").alias("first_at"),
+        when_text("last_at").alias("last_at"),
+        "survivor",
+        "members",
+    )
+
+
 def _moves(rows: DataFrame, revision: int) -> DataFrame:
     """Events as a later revision has them: from the first on every fifth comes 90 minutes later, in
     the second every seventh belongs to another user."""
