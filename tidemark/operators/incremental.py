@@ -29,18 +29,16 @@ def _names(group: tuple[str, ...]) -> list[str]:
     return [f"_g{i}" for i in range(len(group))]
 
 
-def _placed(rows: DataFrame, width: int, group: tuple[str, ...], time: str, key: str | None) -> DataFrame:
-    """Group, bucket and time (and key) of the rows that can take part."""
+def _placed(
+    rows: DataFrame, width: int, group: tuple[str, ...], time: str, key: str | None = None
+) -> DataFrame:
+    """The rows that can take part, with group (``_g0``, ...), bucket, time and key. Without a key every
+    row with a group and a time counts, as a place may have lost its record."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    keyed = [F.col(key).cast("string").alias("_key")] if key else []
-    # Without a key every row with a group and a time counts: a place may have lost its record.
-    part = _takes_part(group, time, key or group[0])
-    return rows.where(part).select(
-        *[F.col(c).alias(n) for n, c in zip(_names(group), group)],
-        _bucket(us, width).alias("_b"),
-        us.alias("_us"),
-        *keyed,
-    )
+    added = {n: F.col(c) for n, c in zip(_names(group), group)} | {"_b": _bucket(us, width), "_us": us}
+    if key:
+        added["_key"] = F.col(key).cast("string")
+    return rows.where(_takes_part(group, time, key or group[0])).withColumns(added)
 
 
 def _days(buckets: DataFrame, width: int) -> list[str]:
@@ -51,16 +49,6 @@ def _days(buckets: DataFrame, width: int) -> list[str]:
     return sorted(str(r.day) for r in each.collect())
 
 
-def _summed_up(
-    read: ReadDays, asked: DataFrame, width: int, group: tuple[str, ...], time: str, key: str
-) -> DataFrame:
-    """The asked buckets with their first record, last time and size, null for empty ones."""
-    names = _names(group)
-    rows = _placed(read(_days(asked, width)), width, group, time, key)
-    found = _bucket_summary(rows.join(asked.select(*names, "_b"), [*names, "_b"], "left_semi"), names)
-    return asked.join(found, [*names, "_b"], "left")
-
-
 def _reached(known: DataFrame, names: list[str], width: int) -> DataFrame:
     """Adds ``right`` and ``left``: whether a walk from a seed comes to the bucket in that direction;
     and ``last`` and ``first``: whether nothing was asked beyond it.
@@ -95,7 +83,7 @@ def _reached(known: DataFrame, names: list[str], width: int) -> DataFrame:
     return out
 
 
-def affected_buckets(
+def affected_records(
     read: ReadDays,
     touched: DataFrame,
     window_minutes: int,
@@ -103,33 +91,41 @@ def affected_buckets(
     time: str = "created_date",
     key: str = "unique_key",
 ) -> DataFrame:
-    """Group columns (``_g0``, ...) and start (``_b``) of the buckets whose records may have other links
-    than before: whole clusters, with all buckets that hold a place of ``touched``.
+    """The records, as ``read`` gives them, whose links may be others than before: whole clusters, with
+    all records in the buckets that hold a place of ``touched``.
 
     ``touched`` has the group and time of each record the batch added or changed, as they are now
     and as they were before. Rows without a group or time touch nothing.
     """
     names, width = _names(group), int(window_minutes * 60_000_000)
-    seeds = written(_placed(touched, width, group, time, None).select(*names, "_b").distinct(), "seeds")
+    bucket = [*names, "_b"]
+    seeds = _placed(touched, width, group, time).select(*bucket)
 
     def beyond(rows: DataFrame, steps: list[int]) -> DataFrame:
-        shifts = F.explode(F.array(*[F.lit(s * width).cast("long") for s in steps]))
-        return rows.select(*names, "_b", shifts.alias("_s")).select(*names, (F.col("_b") + F.col("_s")).alias("_b"))
+        shifts = F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("_s")
+        return rows.select(*bucket, shifts).select(
+            *names, (F.col("_b") + F.col("_s") * width).alias("_b"), (F.col("_s") == 0).alias("seed")
+        )
 
     reach = FIRST_REACH
-    asked = beyond(seeds, list(range(-reach, reach + 1))).distinct()
-    asked = asked.join(seeds.withColumn("seed", F.lit(True)), [*names, "_b"], "left").fillna(False, ["seed"])
-    known = written(_summed_up(read, asked, width, group, time, key), "buckets")
+    asked = beyond(seeds, list(range(-reach, reach + 1))).groupBy(*bucket).agg(F.bool_or("seed").alias("seed"))
+    known = records = None
     while True:
-        reached = _reached(known, names, width)
+        rows = _placed(read(_days(asked, width)), width, group, time, key)
+        found = written(rows.join(asked.select(*bucket), bucket, "left_semi"), "members")
+        told = asked.join(_bucket_summary(found, names), bucket, "left")
+        known = known.unionByName(told) if known else told
+        records = records.unionByName(found) if records else found
+        reached = written(_reached(known, names, width), "reached")
+        known = reached.select(*known.columns)
         reach *= 2
         forth = beyond(reached.where("right AND last"), list(range(1, reach + 1)))
         back = beyond(reached.where("left AND first"), list(range(-reach, 0)))
-        more = forth.unionByName(back).distinct().join(known.select(*names, "_b"), [*names, "_b"], "left_anti")
-        asked = written(more.withColumn("seed", F.lit(False)), "asked")
-        if asked.isEmpty():
-            return reached.where("(right OR left) AND n IS NOT NULL").select(*names, "_b")
-        known = known.unionByName(written(_summed_up(read, asked, width, group, time, key), "buckets"))
+        more = forth.unionByName(back).distinct().join(known.select(*bucket), bucket, "left_anti")
+        if more.isEmpty():
+            region = reached.where("(right OR left) AND n IS NOT NULL").select(*bucket)
+            return records.join(region, bucket, "left_semi").drop(*bucket, "_us", "_key")
+        asked = written(more, "asked")
 
 
 def relink(
@@ -146,12 +142,5 @@ def relink(
     ``window_minutes`` must be above 0. A touched record that can't take part any more isn't among the
     rows; it has no link.
     """
-    names, width = _names(group), int(window_minutes * 60_000_000)
-    region = written(affected_buckets(read, touched, window_minutes, group, time, key), "region")
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = read(_days(region, width))
-    placed = rows.where(_takes_part(group, time, key)).withColumns(
-        {n: F.col(c) for n, c in zip(names, group)} | {"_b": _bucket(us, width)}
-    )
-    members = placed.join(region, [*names, "_b"], "left_semi").drop(*names, "_b")
+    members = affected_records(read, touched, window_minutes, group, time, key)
     return mark_duplicates(members, window_minutes, group, time, key)
