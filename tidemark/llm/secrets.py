@@ -64,19 +64,21 @@ CLASSES = (
     ),
 )
 
-_WORD = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
-_MARKED = r"[A-Za-z0-9+]*(?i:abcdefgh|01234567|example|placeholder|x{6,})[A-Za-z0-9+]*"
+# Segments and their repetitions are possessive: what they took is never given back, so that a long
+# candidate is gone through once, in a loop and not by recursion.
+_WORD = r"[A-Z]?[a-z]++|[A-Z]++|[0-9]++"
+_MARKED = r"(?=[A-Za-z0-9+]*?(?i:abcdefgh|01234567|example|placeholder|x{6}))[A-Za-z0-9+]++"
 
 #: Candidates that are no secrets, or that a kind above has: without digits or digits alone, lower
 #: hex, words and numbers joined by - _ or /, UUIDs. Alphabets in order and marked examples count
 #: for the segment between - _ and / that holds them: the others must be words or numbers.
 ALLOWED = (
-    r"^[^0-9]+$",
-    r"^[0-9]+$",
-    r"^[0-9a-f]{24,}$",
-    rf"^(?:{_WORD})(?:[-_/]+(?:{_WORD}))+$",
+    r"^[^0-9]++$",
+    r"^[0-9]++$",
+    r"^[0-9a-f]{24,}+$",
+    rf"^(?:{_WORD})(?:[-_/]++(?:{_WORD}))++$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    rf"^[-_/]*(?:{_MARKED}|{_WORD})(?:[-_/]+(?:{_MARKED}|{_WORD}))*[-_/]*$",
+    rf"^[-_/]*+(?:{_MARKED}|{_WORD})(?:[-_/]++(?:{_MARKED}|{_WORD}))*+[-_/]*+$",
 )
 
 
