@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -188,18 +187,19 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
     )
     rising = sorted(_order(h["id"], -h["back"]) for h in heads)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(keys: pd.DataFrame) -> pd.Series:
+    # Arrow keeps ids as they are; in pandas a null among them would make them floating point.
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def places(ids: pa.Array, ties: pa.Array) -> pa.Array:
         out = []
-        for ident, tie in zip(keys["id"].tolist(), keys["tie"].tolist()):
-            key = _order(None if pd.isna(ident) else ident, tie)
+        for ident, tie in zip(ids.to_pylist(), ties.to_pylist()):
+            key = _order(ident, tie)
             at = bisect_left(rising, key)
             place = len(rising) - 1 - at
             own, guest = [2 * place], [2 * ((place - 1) % len(rising)) + 1]
             out.append(own + guest if rising[at] == key else own)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    place = places(F.struct("id", "tie"))
+    place = places("id", "tie")
     return docs.withColumn("place", F.explode(place)).select(
         F.expr("place div 2").alias("range"), (F.col("place") % 2).alias("guest"), *docs.columns
     )
