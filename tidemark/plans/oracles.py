@@ -393,6 +393,19 @@ m AS (
 )
 SELECT o_orderkey, change, round(CASE change WHEN 'kept' THEN old_price ELSE price END, 2) AS o_totalprice,
   {_time("CASE change WHEN 'kept' THEN old_d ELSE d END")} AS o_orderdate FROM m"""
+ORACLES["bucketed_upsert"] = ORACLES["upsert_insert_update"]
+ORACLES["order_lookup"] = f"""
+WITH k AS (SELECT max(o_orderkey) AS o_orderkey FROM orders),
+r AS (
+  SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'
+  UNION ALL
+  SELECT * REPLACE (o_totalprice + 1 AS o_totalprice,
+    o_orderdate + CASE WHEN o_orderstatus = 'P' THEN INTERVAL (-1) DAY ELSE INTERVAL 1 DAY END AS o_orderdate)
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'
+)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, round(o_totalprice, 2) AS o_totalprice,
+  {_time("o_orderdate")} AS o_orderdate
+FROM r JOIN k USING (o_orderkey) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC) = 1"""
 
 ORACLES["raw_keep_seen_count"] = f"""WITH {_FEED}
 SELECT unique_key, props AS payload, {_time("source_updated_at")} AS source_updated_at,
@@ -438,6 +451,9 @@ ORACLES["requests_page"] = f"""WITH {_CLEAN}
 SELECT unique_key, {_time("c.created_date")} AS created_date, {_time("closed_date")} AS closed_date,
   complaint_type_norm, status, borough, incident_zip, address_raw AS incident_address, defect_count
 FROM clean c WHERE {_PAGE} ORDER BY c.created_date DESC NULLS LAST, unique_key LIMIT 50 OFFSET 25"""
+ORACLES["requests_seek"] = f"""WITH {_CLEAN}
+SELECT unique_key, {_time("c.created_date")} AS created_date, complaint_type_norm, borough, defect_count
+FROM clean c WHERE {_PAGE} ORDER BY c.created_date DESC NULLS LAST, unique_key LIMIT 25 OFFSET 50"""
 ORACLES["requests_total"] = f"WITH {_CLEAN} SELECT count(*) AS total FROM clean WHERE {_PAGE}"
 ORACLES["request_detail"] = f"""WITH {_CLEAN}
 SELECT c.unique_key, c.is_duplicate_of,

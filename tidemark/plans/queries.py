@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tidemark.operators.standardize import canonicalize_category, standardize
 from tidemark.plans import derived, reports
 from tidemark.schema import RUN_COUNTERS
 from tidemark.sources import feed
+from tidemark.sources.bucketed import BucketedTable
 from tidemark.sources.snapshots import SnapshotStore
 from tidemark.sources.staging import written, written_by_day
 from tidemark.streaming import ingest
@@ -444,6 +446,73 @@ def upsert_insert_update(spark, sf_dir):
     )
 
 
+def _order_revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders before 1998, and those from 1996 on priced anew; of these, orders in progress carry
+    an older time and must not win."""
+    orders = derived.read(spark, sf_dir, "orders")
+    stored = orders.where(F.col("o_orderdate") < timestamp_literal("1998-01-01 00:00:00"))
+    late = F.when(F.col("o_orderstatus") == "P", -1).otherwise(1)
+    incoming = orders.where(F.col("o_orderdate") >= timestamp_literal("1996-01-01 00:00:00"))
+    newer = {
+        "o_totalprice": F.col("o_totalprice") + 1,
+        "o_orderdate": F.col("o_orderdate") + F.make_dt_interval(late),
+    }
+    return stored, incoming.withColumns(newer)
+
+
+ORDER_BUCKETS = 16
+
+
+def _served_orders(spark: SparkSession, sf_dir: str) -> tuple[BucketedTable, DataFrame]:
+    """The bucketed table after the upsert, and the changes of that batch."""
+
+    def fill(root: str) -> None:
+        stored, incoming = _order_revisions(spark, sf_dir)
+        table = _table_at(root).create(stored)
+        changes = table.classified(incoming)
+        changes.write.parquet(f"{root}/changes")
+        table.upsert(spark.read.parquet(f"{root}/changes"))
+
+    def _table_at(root: str) -> BucketedTable:
+        name = "orders_" + root.rstrip("/").rsplit("-", 1)[-1]
+        return BucketedTable(spark, name, root, "o_orderkey", "o_orderdate", ORDER_BUCKETS)
+
+    root = derived.once(spark, sf_dir, "served-orders", fill)
+    return _table_at(root), spark.read.parquet(f"{root}/changes")
+
+
+@query
+def bucketed_upsert(spark, sf_dir):
+    """As ``upsert_insert_update``, on a bucketed table that takes in the batch alone."""
+    table, changes = _served_orders(spark, sf_dir)
+    told = changes.where("change <> 'stale'").select("o_orderkey", "change")
+    return (
+        table.newest()
+        .join(told, "o_orderkey", "left")
+        .select(
+            "o_orderkey",
+            F.coalesce("change", F.lit("kept")).alias("change"),
+            F.round("o_totalprice", 2).alias("o_totalprice"),
+            when_text("o_orderdate").alias("o_orderdate"),
+        )
+    )
+
+
+@query
+def order_lookup(spark, sf_dir):
+    """The order with the largest key, from the bucket that may hold it."""
+    table, _ = _served_orders(spark, sf_dir)
+    largest = derived.read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return table.lookup(largest).select(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.round("o_totalprice", 2).alias("o_totalprice"),
+        when_text("o_orderdate").alias("o_orderdate"),
+    )
+
+
 @query
 def raw_keep_seen_count(spark, sf_dir):
     """Flagged payloads of records updated by the watermark, then the whole feed on top."""
@@ -576,6 +645,28 @@ def requests_page(spark, sf_dir):
     )
 
 
+@query
+def requests_seek(spark, sf_dir):
+    """The third page of 25, each page sought after the last record of the one before."""
+    clean = derived.served(spark, sf_dir)
+    last = None
+    for _ in range(2):
+        # The end of a page: its last row in its own order, at most one.
+        page = reports.requests_after(clean, _page_filter(), last, 25)
+        end = page.orderBy(F.asc_nulls_first("created_date"), F.desc("unique_key")).select("created_date", "unique_key").first()
+        if end is None:
+            break
+        # With its zone, as the driver's own may be another.
+        last = (end.created_date.astimezone(timezone.utc) if end.created_date else None, end.unique_key)
+    return reports.requests_after(clean, _page_filter(), last, 25).select(
+        "unique_key",
+        when_text("created_date").alias("created_date"),
+        "complaint_type_norm",
+        "borough",
+        F.col("defect_count").cast("bigint").alias("defect_count"),
+    )
+
+
 @query
 def requests_total(spark, sf_dir):
     return reports.requests_total(derived.served(spark, sf_dir), _page_filter())

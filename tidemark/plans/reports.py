@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 from functools import reduce
 from operator import and_
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
+from tidemark.config import timestamp_literal
 from tidemark.operators.lookup import rule_table
 
 PAGE_COLUMNS = (
@@ -90,6 +91,29 @@ def requests_page(
     )
 
 
+def requests_after(
+    clean: DataFrame, condition: Column, last: tuple[datetime | None, str] | None = None, limit: int = 200
+) -> DataFrame:
+    """The page that follows the record with created date and key ``last`` (None: the first page), in the
+    order of :func:`requests_page`.
+
+    The place is part of the filter, so it reaches the scan, and every page is a top-k of its own
+    size however deep it lies: each task keeps ``limit`` rows and nothing is counted off.
+    """
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be 1 to 1000")
+    beyond = F.lit(True)
+    if last:
+        created, key = last
+        at, later_key = F.col("created_date"), F.col("unique_key") > F.lit(key)
+        if created is None:
+            beyond = at.isNull() & later_key
+        else:
+            moment = timestamp_literal(created)
+            beyond = (at < moment) | ((at == moment) & later_key) | at.isNull()
+    return requests_page(clean, condition & beyond, limit)
+
+
 def requests_total(clean: DataFrame, condition: Column) -> DataFrame:
     return clean.where(condition).agg(F.count(F.lit(1)).alias("total"))
 
