@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 BIN_WIDTH = 60_000_000
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, bin_width: int = BIN_WIDTH) -> DataFrame:
-    """keys, ``median``: the interpolated median of an integer column, NULLs ignored.
+def exact_median(
+    df: DataFrame, keys: list[str], value: str, bin_width: int = BIN_WIDTH, weight: str | None = None
+) -> DataFrame:
+    """keys, ``median``: the interpolated median of an integer column, NULLs ignored. With ``weight``, a
+    column of whole numbers, a row stands for so many; sums of weights that are 0 count for nothing.
 
     Counts per distinct value are combined map-side and spread by (keys, value). A second count
     per bin finds the one or two bins that hold the middle ranks, and only the values of those
@@ -20,7 +23,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, bin_width: int = BI
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+        .where("_n > 0")
         .withColumn("_bin", F.col("_v") - F.pmod("_v", F.lit(bin_width).cast("bigint")))
         # Said here so that both uses below ask for the same rows and share one shuffle.
         .where(F.col("_bin").isNotNull())

@@ -12,15 +12,12 @@ KEYS = ["day", "borough", "complaint_type_norm"]
 _HOUR_US = 3_600_000_000.0
 
 
-def rollup(clean: DataFrame) -> DataFrame:
-    """Real problems, closed ones, median hours to close, defective ones and duplicates.
-
-    Duplicates count only as duplicates. A record closed before it was created counts as closed
-    but stays out of the median.
-    """
+def measured(clean: DataFrame) -> DataFrame:
+    """What the rollup counts of each dated record: its keys, four flags, and ``open_us``, the
+    microseconds to its close, NULL where they stay out of the median."""
     survivor = F.col("is_duplicate_of").isNull()
     closed = F.col("closed_date").isNotNull()
-    rows = clean.where(F.col("created_date").isNotNull()).select(
+    return clean.where(F.col("created_date").isNotNull()).select(
         F.to_date("created_date").alias("day"),
         F.coalesce("borough", F.lit("UNSPECIFIED")).alias("borough"),
         F.coalesce("complaint_type_norm", F.lit("UNKNOWN")).alias("complaint_type_norm"),
@@ -32,13 +29,10 @@ def rollup(clean: DataFrame) -> DataFrame:
             micros_between(F.col("closed_date"), F.col("created_date")),
         ).alias("open_us"),
     )
-    counts = rows.groupBy(*KEYS).agg(
-        F.count_if("survivor").alias("request_count"),
-        F.count_if("closed").alias("closed_count"),
-        F.count_if("defective").alias("defect_count"),
-        F.count_if(~F.col("survivor")).alias("duplicate_count"),
-    )
-    medians = exact_median(rows, KEYS, "open_us")
+
+
+def with_medians(counts: DataFrame, medians: DataFrame) -> DataFrame:
+    """The columns of the daily table from the counts and the medians of ``open_us`` by KEYS."""
     return counts.join(medians, KEYS, "left").select(
         *KEYS,
         "request_count",
@@ -49,6 +43,22 @@ def rollup(clean: DataFrame) -> DataFrame:
     )
 
 
+def rollup(clean: DataFrame) -> DataFrame:
+    """Real problems, closed ones, median hours to close, defective ones and duplicates.
+
+    Duplicates count only as duplicates. A record closed before it was created counts as closed
+    but stays out of the median.
+    """
+    rows = measured(clean)
+    counts = rows.groupBy(*KEYS).agg(
+        F.count_if("survivor").alias("request_count"),
+        F.count_if("closed").alias("closed_count"),
+        F.count_if("defective").alias("defect_count"),
+        F.count_if(~F.col("survivor")).alias("duplicate_count"),
+    )
+    return with_medians(counts, exact_median(rows, KEYS, "open_us"))
+
+
 def days_of_keys(clean: DataFrame, touched: DataFrame, key: str = "unique_key") -> DataFrame:
     """Distinct created days of the touched records."""
     keys = touched.select(key)

@@ -9,11 +9,13 @@ something downstream reads it.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
@@ -232,15 +234,15 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where("is_rejected")
 
 
-def run_counters(validated: DataFrame) -> DataFrame:
-    """Row counters of one batch: a single aggregate, one row out.
+def counters(validated: DataFrame) -> list[Column]:
+    """Aggregates that count one batch.
 
     A record without a key counts as rejected and moves neither the update-time maximum nor the
     stored tables.
     """
     keyed = F.col("unique_key").isNotNull()
     kept = keyed & ~F.col("is_rejected")
-    return validated.agg(
+    return [
         F.count(F.lit(1)).alias("rows_fetched"),
         F.count_if(~kept).alias("rows_rejected"),
         F.count_if(~keyed).alias("rows_keyless"),
@@ -248,7 +250,33 @@ def run_counters(validated: DataFrame) -> DataFrame:
         F.count_if(kept & any_failure(validated)).alias("rows_flagged"),
         F.count_if(kept & F.col("unrecognized_type")).alias("unrecognized_types"),
         F.max(F.when(keyed, F.col("source_updated_at"))).alias("max_updated_at"),
-    )
+    ]
+
+
+def run_counters(validated: DataFrame) -> DataFrame:
+    """Row counters of one batch: a single aggregate, one row out."""
+    return validated.agg(*counters(validated))
+
+
+def observed(validated: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
+    """``validated``, and what gives its counters once an action has run over all of it: they are taken
+    as the rows go by, so no job is needed for them.
+
+    Write the rows as they come, without a shuffle after: then each row is counted by the one task
+    that writes it, also when others are repeated after a loss.
+    """
+    watch = Observation()
+    # The time as a number, which needs no conversion on its way to the driver.
+    *counts, newest = counters(validated)
+    rows = validated.observe(watch, *counts, F.unix_micros(newest).alias("max_updated_us"))
+
+    def told() -> dict:
+        found = dict(watch.get)
+        us = found.pop("max_updated_us")
+        at = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us) if us is not None else None
+        return found | {"max_updated_at": at}
+
+    return rows, told
 
 
 def rule_counts(

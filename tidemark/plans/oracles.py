@@ -254,6 +254,7 @@ SELECT count(*) AS rows_fetched, count(*) FILTER (WHERE is_rejected) AS rows_rej
   {_time("max(source_updated_at) FILTER (WHERE unique_key IS NOT NULL)")} AS max_updated_at
 FROM batch"""
 
+ORACLES["observed_counters"] = ORACLES["accepted_rejected_split"]
 ORACLES["record_verdicts"] = f"WITH {_FEED} SELECT * FROM verdicts"
 
 ORACLES["orders_date_rules"] = f"""
@@ -413,6 +414,7 @@ SELECT unique_key, props AS payload, {_time("source_updated_at")} AS source_upda
 FROM batch WHERE unique_key IS NOT NULL AND failure_count > 0"""
 
 ORACLES["daily_rollup"] = f"WITH {_DAILY} {_DAY_TEXT} daily"
+ORACLES["daily_by_differences"] = ORACLES["daily_rollup"]
 ORACLES["daily_rollup_orders"] = f"""
 WITH s AS (SELECT l_orderkey, min(l_shipdate) AS closed_date FROM lineitem GROUP BY 1),
 o AS (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RunConfig, configure, new_run_dir, timestamp_literal
 from tidemark.functions import geo, text, times
-from tidemark.operators import duplicates, incremental, places, retention, rollup, upsert, validate
+from tidemark.operators import daily_state, duplicates, incremental, places, retention, rollup, upsert, validate
 from tidemark.operators.lookup import literal_table
 from tidemark.operators.standardize import canonicalize_category, standardize
 from tidemark.plans import derived, reports
@@ -158,6 +158,18 @@ def accepted_rejected_split(spark, sf_dir):
     return counters.withColumn("max_updated_at", when_text("max_updated_at"))
 
 
+@query
+def observed_counters(spark, sf_dir):
+    """Counters of the checked batch, taken while its rows are written."""
+    rows, told = validate.observed(derived.validated_now(spark, sf_dir))
+    rows.write.format("noop").mode("overwrite").save()
+    found = told()
+    newest = found.pop("max_updated_at")
+    counts = [F.lit(v).cast("bigint").alias(k) for k, v in found.items()]
+    at = timestamp_literal(newest) if newest else F.lit(None).cast("timestamp")
+    return spark.range(1).select(*counts, when_text(at).alias("max_updated_at"))
+
+
 @query
 def record_verdicts(spark, sf_dir):
     return derived.validated(spark, sf_dir).select(
@@ -535,6 +547,27 @@ def daily_rollup(spark, sf_dir):
     return _day_text(rollup.rollup(derived.served(spark, sf_dir)))
 
 
+@query
+def daily_by_differences(spark, sf_dir):
+    """The daily table from a state that took in three batches: the records before the watermark as
+    they were first sent, the others as first sent, then what became of all of them."""
+    final = derived.served(spark, sf_dir)
+    # As first sent, a record is open, without defects, and linked with none.
+    sent = final.withColumns(
+        {
+            "closed_date": F.lit(None).cast("timestamp"),
+            "is_duplicate_of": F.lit(None).cast("string"),
+            "defect_count": F.lit(0),
+        }
+    )
+    early = F.col("created_date") < timestamp_literal(WATERMARK)
+    first = daily_state.state(sent.where(early))
+    second = daily_state.state(sent.where(~early))
+    third = daily_state.difference(sent, final)
+    batches = [written(part, f"daily-state-{i}") for i, part in enumerate((first, second, third))]
+    return _day_text(daily_state.daily(*batches))
+
+
 @query
 def daily_rollup_orders(spark, sf_dir):
     """Orders by day, customer region and priority; the first ship date closes an order."""

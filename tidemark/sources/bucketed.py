@@ -69,7 +69,7 @@ class BucketedTable:
         """The newest revision of each incoming key with ``change``: insert, update, or stale where the
         table has a newer one."""
         rows = self._newest(incoming).repartition(self.buckets, self.key)
-        held = self.newest().select(self.key, F.col(self.updated).alias("_stored_at"), F.lit(True).alias("_hit"))
+        held = self.rows().groupBy(self.key).agg(F.max(self.updated).alias("_stored_at"), F.lit(True).alias("_hit"))
         # A revision without a time is older than any with one.
         older = F.coalesce(F.col(self.updated) < F.col("_stored_at"), F.col("_stored_at").isNotNull())
         change = (

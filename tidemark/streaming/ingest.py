@@ -48,12 +48,13 @@ def apply_batch(
         return None
     now = cfg.as_of_col
 
-    # The checked batch is written once and feeds every table.
+    # The checked batch is written once, counted as it is written, and feeds every table.
     records = standardize(feed, keep=("payload",))
     if polygons is not None:
         records = places.locate_points(records, polygons)
-    checked = store.stage("checked", head, validate.validate(records, now))
-    counts = validate.run_counters(checked).first().asDict()
+    rows, told = validate.observed(validate.validate(records, now))
+    checked = store.stage("checked", head, rows)
+    counts = told()
     keyed = checked.where(F.col("unique_key").isNotNull())
     newest = [F.desc_nulls_last("source_updated_at"), F.xxhash64("payload")]
 
