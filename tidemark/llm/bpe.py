@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import give_back, small_batches
 
 #: Bytes of text in a block, at most a document more.
 BLOCK_BYTES = 3 << 20
@@ -188,6 +188,8 @@ def _word_rows(pattern: str, buckets: int):
                 ],
                 names=["bucket", "block", "packet"],
             )
+            del words, order, parts
+            give_back()
 
     return rows
 
@@ -203,6 +205,8 @@ def _place_rows(pattern: str, id_type: pa.DataType):
             places, sizes = _places(texts, splitter)
             columns = [pa.array([v], t) for v, t in zip((block, ids, places, sizes), schema.types)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            del places, sizes, columns
+            give_back()
 
     return rows
 
@@ -234,6 +238,8 @@ def _encode_packets(ranks):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(out, pa.binary())], names=["block", "packet"]
             )
+        del coded
+        give_back()
 
     return rows
 
@@ -263,7 +269,10 @@ def _reassemble(id_type: pa.DataType):
                 made_ids.append(ident)
                 made.append(raw[4 * start : 4 * end])
                 start = end
-        return pa.Table.from_arrays([pa.array(made_ids, id_type), pa.array(made, pa.binary())], schema=schema)
+        table = pa.Table.from_arrays([pa.array(made_ids, id_type), pa.array(made, pa.binary())], schema=schema)
+        del coded, parts, flat, made
+        give_back()
+        return table
 
     return rows
 
@@ -322,11 +331,13 @@ def decode(tokens: DataFrame, ranks_path: str, name: str = "tokens") -> DataFram
     small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
+    table: dict[int, bytes] = {}
+
+    # Not an iterator of batches, so that it shares one Python worker with :func:`token_array`.
     @F.pandas_udf(T.BinaryType())
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = {i: b for b, i in ranks.value.items()}
-        join = lambda v: b"".join(map(table.__getitem__, np.frombuffer(v, "<u4").tolist()))
-        for values in batches:
-            yield values.map(join)
+    def decoded(values: pd.Series) -> pd.Series:
+        if not table:  # once a task
+            table.update((i, b) for b, i in ranks.value.items())
+        return values.map(lambda v: b"".join(map(table.__getitem__, np.frombuffer(v, "<u4").tolist())))
 
     return tokens.withColumn("decoded", decoded(F.col(name)))
