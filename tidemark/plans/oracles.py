@@ -378,6 +378,7 @@ FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber O
   l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC,
   l_returnflag DESC, l_linestatus DESC) = 1"""
 
+ORACLES["stream_latest_revision"] = ORACLES["latest_revision"]
 ORACLES["upsert_insert_update"] = f"""
 WITH s AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
 i AS (

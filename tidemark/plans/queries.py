@@ -26,6 +26,7 @@ from tidemark.sources.snapshots import SnapshotStore
 from tidemark.sources.staging import written, written_by_day
 from tidemark.streaming import ingest
 from tidemark.streaming.live_clusters import LiveClusters
+from tidemark.streaming.newest import NewestRevisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -434,6 +435,42 @@ def latest_revision(spark, sf_dir):
     )
 
 
+_LINE_KEYS = ("l_orderkey", "l_linenumber")
+_LINE_RANK = (
+    "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
+)
+
+
+def _line_revisions(spark: SparkSession, sf_dir: str) -> NewestRevisions:
+    """Lines streamed in three batches by a hash, so that newer and stale ones come in any order."""
+
+    def at(root: str) -> NewestRevisions:
+        return NewestRevisions(spark, root, _LINE_KEYS, "l_shipdate", _LINE_RANK)
+
+    def fill(root: str) -> None:
+        columns = [*_LINE_KEYS, "l_shipdate", *_LINE_RANK]
+        lines = derived.read(spark, sf_dir, "lineitem").select(*columns)
+        third = F.pmod(F.xxhash64(*columns), F.lit(3))
+        for n in range(3):
+            lines.where(third == n).write.mode("append").parquet(f"{root}/landing")
+            at(root).run(spark.readStream.schema(lines.schema).parquet(f"{root}/landing"))
+
+    return at(derived.once(spark, sf_dir, "line-revisions", fill))
+
+
+@query
+def stream_latest_revision(spark, sf_dir):
+    """As ``latest_revision``, from the state of a stream."""
+    return _line_revisions(spark, sf_dir).current().select(
+        "l_orderkey",
+        F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+        when_text("l_shipdate").alias("l_shipdate"),
+    )
+
+
 @query
 def upsert_insert_update(spark, sf_dir):
     """Orders before 1998 are stored; those from 1996 on come in, priced anew."""

@@ -29,7 +29,7 @@ _SETTINGS = {
 
 
 @contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
+def state_settings(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
@@ -87,7 +87,7 @@ class LiveClusters:
         batch from being appended twice.
         """
         found = clusters(records, self.window_minutes, self.delay, self.group, self.time, self.key)
-        with _settings(self.spark):
+        with state_settings(self.spark):
             stream = (
                 found.writeStream.format("parquet")
                 .option("path", f"{self.root}/closed")
