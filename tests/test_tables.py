@@ -13,7 +13,7 @@ from tidemark.config import timestamp_literal
 from tidemark.operators import places, retention, rollup, upsert
 from tidemark.operators.median import exact_median
 from tidemark.plans import reports
-from tidemark.sources.boundaries import load_boundaries, read_boundaries
+from tidemark.sources.boundaries import build_boundaries, load_boundaries, read_boundaries
 
 CLEAN = (
     "unique_key string, created_date timestamp, closed_date timestamp, status string, borough string, "
@@ -175,6 +175,21 @@ def test_boundaries_and_points(spark, tmp_path):
         read_boundaries(spark, str(path))
 
 
+def test_built_boundaries_are_checked_before_they_are_stored(spark, tmp_path):
+    def feature(name, x):
+        return {"type": "Feature", "properties": {"boro_name": name},
+                "geometry": {"type": "Polygon", "coordinates": [square("x", x, 0.0, 1)]}}
+
+    path, stored = tmp_path / "areas.geojson", str(tmp_path / "stored")
+    path.write_text(json.dumps({"features": [feature("north", 0.0), feature("South", 2.0), feature("other", 4.0)]}, indent=2))
+    built = build_boundaries(spark, str(path), stored, ["NORTH", "SOUTH"])
+    assert sorted(r.borough for r in built.collect()) == ["NORTH", "SOUTH"]
+    path.write_text(json.dumps({"features": [feature("north", 0.0)]}))
+    with pytest.raises(ValueError):
+        build_boundaries(spark, str(path), stored, ["NORTH", "SOUTH"])
+    assert load_boundaries(spark, stored).count() == 2
+
+
 def test_no_polygons_means_not_checked(spark):
     df = spark.createDataFrame([(40.7, -73.9)], "latitude double, longitude double")
     assert places.locate_points(df, load_boundaries(spark, None)).first()["found_borough"] is None

@@ -293,6 +293,16 @@ WITH p AS (
 SELECT o_orderkey, round(2 * 6371.0088 * asin(sqrt(
   pow(sin((c - a) / 2), 2) + cos(a) * cos(c) * pow(sin((d - b) / 2), 2))), 5) AS km FROM p"""
 
+ORACLES["boundary_regions"] = """
+WITH p AS (
+  SELECT c_custkey, c_custkey * 7 % 3000 / 10.0::DOUBLE - 149.95::DOUBLE AS x,
+    c_custkey * 13 % 1000 / 10.0::DOUBLE - 49.97::DOUBLE AS y FROM customer
+)
+SELECT c_custkey, (
+  SELECT r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+  WHERE x BETWEEN n_nationkey * 12 - 150 AND n_nationkey * 12 - 140
+    AND y BETWEEN n_regionkey * 20 - 50 AND n_regionkey * 20 - 35
+) AS found_region FROM p"""
 ORACLES["point_in_polygon"] = f"""WITH {_FEED},
 boxes(name, ord, w, s, e, n) AS (VALUES {_values([(b[0], i, *b[1:]) for i, b in enumerate(BOXES)])}),
 points AS (
@@ -513,6 +523,9 @@ SELECT field, count(*) FILTER (WHERE present) AS rows_present, count(*) FILTER (
   round(100.0 * count(*) FILTER (WHERE filled) / count(*) FILTER (WHERE present), 2) AS fill_pct
 FROM fields GROUP BY field"""
 
+ORACLES["day_table_counts"] = f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events
+WHERE ts >= {AS_OF} - INTERVAL 21 DAY AND NOT (ts >= TIMESTAMP '{WATERMARK}' AND event_id % 10 = 0) GROUP BY 1"""
 ORACLES["retention_counts"] = " UNION ALL ".join(
     f"""SELECT '{name}' AS name, count(*) FILTER (WHERE ts >= {AS_OF} - INTERVAL {days} DAY) AS kept,
   count(*) FILTER (WHERE ts < {AS_OF} - INTERVAL {days} DAY) AS pruned FROM events"""

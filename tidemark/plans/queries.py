@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import timezone
+from datetime import timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +20,9 @@ from tidemark.operators.lookup import literal_table
 from tidemark.operators.standardize import canonicalize_category, standardize
 from tidemark.plans import derived, reports
 from tidemark.schema import RUN_COUNTERS
-from tidemark.sources import feed
+from tidemark.sources import boundaries, feed
 from tidemark.sources.bucketed import BucketedTable
+from tidemark.sources.day_table import DayTable
 from tidemark.sources.snapshots import SnapshotStore
 from tidemark.sources.staging import written, written_by_day
 from tidemark.streaming import ingest
@@ -289,6 +290,52 @@ def point_in_polygon(spark, sf_dir):
     return checked.select("event_id", "found_borough", F.col("check_place").alias("failed_rule"))
 
 
+def _nation_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text: a feature a region with a box a nation, and one of another name that spans the world.
+    The features are as many as there are regions, the boxes as nations."""
+    nations = derived.read(spark, sf_dir, "nation").join(
+        derived.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    west, south = F.col("n_nationkey") * 12 - 150, F.col("n_regionkey") * 20 - 50
+    corners = [(west, south), (west + 10, south), (west + 10, south + 15), (west, south + 15), (west, south)]
+    ring = F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in corners])
+    multi = F.collect_list(F.struct("n_nationkey", F.array(ring).alias("polygon")))
+    regions = nations.groupBy("r_name").agg(F.sort_array(multi).alias("m")).select(
+        F.to_json(
+            F.struct(
+                F.lit("Feature").alias("type"),
+                F.struct(F.lower("r_name").alias("boro_name")).alias("properties"),
+                F.struct(F.lit("MultiPolygon").alias("type"), F.col("m.polygon").alias("coordinates")).alias("geometry"),
+            )
+        ).alias("feature")
+    )
+    world = (
+        '{"type":"Feature","properties":{"BoroName":"Everywhere"},"geometry":{"type":"Polygon",'
+        '"coordinates":[[[-180,-90],[180,-90],[180,90],[-180,90],[-180,-90]]]}}'
+    )
+    features = F.array_join(F.concat(F.array(F.lit(world)), F.sort_array(F.collect_list("feature"))), ",\n")
+    return regions.agg(F.concat(F.lit('{"type":"FeatureCollection","features":[\n'), features, F.lit("\n]}")).alias("value"))
+
+
+@query
+def boundary_regions(spark, sf_dir):
+    """Customers by the region whose boundary holds their point, the boundaries built from a GeoJSON file."""
+
+    def fill(root: str) -> None:
+        _nation_geojson(spark, sf_dir).coalesce(1).write.text(f"{root}/geojson")
+        names = [r.r_name for r in derived.read(spark, sf_dir, "region").select("r_name").distinct().collect()]
+        boundaries.build_boundaries(spark, f"{root}/geojson", f"{root}/rings", names)
+
+    rings = boundaries.load_boundaries(spark, derived.once(spark, sf_dir, "boundaries", fill) + "/rings")
+    key = F.col("c_custkey")
+    points = derived.read(spark, sf_dir, "customer").select(
+        "c_custkey",
+        (key * 7 % 3000 / F.lit(10.0) - 149.95).alias("longitude"),
+        (key * 13 % 1000 / F.lit(10.0) - 49.97).alias("latitude"),
+    )
+    return places.locate_points(points, rings).select("c_custkey", F.col("found_borough").alias("found_region"))
+
+
 # ---- duplicates ----------------------------------------------------------------------------
 
 
@@ -868,6 +915,25 @@ def retention_counts(spark, sf_dir):
     return retention.prune_counts(events, "ts", derived.as_of(), windows)
 
 
+@query
+def day_table_counts(spark, sf_dir):
+    """Events by day, from file footers, in a day table where the days from the watermark on were
+    written again without every tenth event, and which retention then cut to 21 days."""
+
+    def table_at(root: str) -> DayTable:
+        return DayTable(spark, "events_" + root.rstrip("/").rsplit("-", 1)[-1], "ts")
+
+    def fill(root: str) -> None:
+        events = derived.read(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+        table = table_at(root).create("event_id BIGINT, event_type STRING, ts TIMESTAMP")
+        table.replace_days(events)
+        table.replace_days(events.where((F.col("ts") >= timestamp_literal(WATERMARK)) & (F.col("event_id") % 10 != 0)))
+        table.prune(derived.AS_OF_TIME - timedelta(days=21))
+
+    table = table_at(derived.once(spark, sf_dir, "day-table", fill))
+    return table.counts().select(F.col("part").alias("day"), F.col("rows").alias("n"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per event day: its counters come from the day's events."""
     events = derived.read(spark, sf_dir, "events")

@@ -1,4 +1,4 @@
-"""Borough polygons from a GeoJSON file."""
+"""Polygons of boroughs, or of other named areas, from a GeoJSON file."""
 
 from __future__ import annotations
 
@@ -14,12 +14,15 @@ _GEOJSON = (
 _POLYGON = "array<array<array<double>>>"
 
 
-def read_boundaries(spark: SparkSession, path: str, expected: int | None = 5) -> DataFrame:
+def read_boundaries(
+    spark: SparkSession, path: str, expected: int | None = 5, names: list[str] | None = None
+) -> DataFrame:
     """borough, ord, ring: the outer ring of every polygon, in file order.
 
-    Holes are left out. Fails when the file does not give the expected number of boroughs.
+    ``names`` are the areas wanted, in upper case, the five boroughs by default; other features are
+    passed over. Holes are left out. Fails when the file does not give the expected number of areas.
     """
-    boroughs = sorted({b for _, b in borough_spellings()})
+    boroughs = sorted({b for _, b in borough_spellings()}) if names is None else names
     features = spark.read.schema(_GEOJSON).option("multiLine", True).json(path)
     one = features.select(F.posexplode("features").alias("feature", "f")).select(
         "feature",
@@ -53,6 +56,16 @@ def read_boundaries(spark: SparkSession, path: str, expected: int | None = 5) ->
     return out
 
 
+def build_boundaries(
+    spark: SparkSession, geojson: str, path: str, names: list[str] | None = None
+) -> DataFrame:
+    """Reads the GeoJSON file, checks that every wanted area is there, and stores the polygons at
+    ``path``, where :func:`load_boundaries` finds them. A file that lacks an area changes nothing."""
+    wanted = len({b for _, b in borough_spellings()}) if names is None else len(set(names))
+    read_boundaries(spark, geojson, wanted, names).write.mode("overwrite").parquet(path)
+    return load_boundaries(spark, path)
+
+
 def load_boundaries(spark: SparkSession, path: str | None) -> DataFrame | None:
     """Stored polygons, or None when there are none: the polygon rule is then not checked."""
     return spark.read.parquet(path) if path else None
