@@ -56,7 +56,7 @@ def test_address(spark):
 def test_borough(spark):
     """Every known spelling in any case and spacing; anything longer or unknown is NULL."""
     cases = []
-    for spelling, borough in fixed.borough_spellings():
+    for spelling, borough in fixed.BOROUGH_SPELLINGS:
         cases += [(spelling, borough), (spelling.lower(), borough), (f" {spelling.title()}  ", borough)]
         cases += [(spelling.replace(" ", " \t "), borough), (f"{spelling} COUNTY SEAT", None)]
     cases += [("Westchester", None), ("?", None), ("", None), (None, None)]
@@ -204,8 +204,8 @@ def test_empty_address_falls_back_to_street_name(spark):
 def test_zip_and_borough(spark):
     """The ends of each range belong to its borough, the codes beyond to another or none; a shared
     code agrees with each of its boroughs."""
-    shared = dict(fixed.shared_zips())
-    ranges = fixed.zip_ranges()
+    shared = dict(fixed.SHARED_ZIPS)
+    ranges = fixed.ZIP_RANGES
     rows = []
     for low, high, borough in ranges:
         for code in (low - 1, low, (low + high) // 2, high, high + 1):

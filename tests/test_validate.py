@@ -140,7 +140,7 @@ def test_each_rule(checked):
 
 
 def test_severity_decides_reject_and_defects(checked):
-    severity = {name: s for name, s, _ in fixed.rules()}
+    severity = {name: s for name, s, _ in fixed.RULES}
     for r in checked.collect():
         assert all(f["severity"] == severity[f["rule"]] for f in r["failures"])
         kinds = [f["severity"] for f in r["failures"]]
@@ -157,7 +157,7 @@ def test_rule_counts_cover_the_registry(checked):
         r["rule"]: r["count"] for r in V.failure_rows(checked).groupBy("rule").count().collect()
     }
     counted = {r["rule"]: r["failures"] for r in V.rule_counts(checked).collect()}
-    assert set(counted) == {name for name, _, _ in fixed.rules()}
+    assert set(counted) == {name for name, _, _ in fixed.RULES}
     assert {k: v for k, v in counted.items() if v} == exploded
 
 
@@ -169,9 +169,9 @@ def test_rule_counts_of_added_rules(spark):
     checked = V.validate(standardize(feed), now(), checks)
     added = {"address_plain": V.FLAG, "address_odd": V.REJECT}
     got = {r["rule"]: tuple(r)[1:] for r in V.rule_counts(checked, checks).collect()}
-    n = len(fixed.rules())
+    n = len(fixed.RULES)
     assert got["address_plain"] == (V.FLAG, n, 3) and got["address_odd"] == (V.REJECT, n + 1, 0)
-    assert set(got) == {name for name, _, _ in fixed.rules()} | set(added)
+    assert set(got) == {name for name, _, _ in fixed.RULES} | set(added)
     stored = {r["rule"]: r for r in stored_rule_counts(V.failure_rows(checked)).collect()}
     assert stored["address_plain"]["failures"] == 3 and stored["address_plain"]["severity"] == V.FLAG
     assert stored["zip_missing"]["failures"] == 0

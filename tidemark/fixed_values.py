@@ -4,129 +4,136 @@ Everything in this file is a constant whose exact value decides whether results
 lookup tables, ranges, rule names and message texts. There is no logic here.
 """
 
-# Category aliases, "feed label => canonical label" (the label alone when both
-# are the same). Only the left-hand side counts as a recognized category.
-CATEGORY_ALIASES_TEXT = """
-NOISE - RESIDENTIAL
-NOISE RESIDENTIAL => NOISE - RESIDENTIAL
-NOISE - COMMERCIAL
-NOISE COMMERCIAL => NOISE - COMMERCIAL
-NOISE - STREET/SIDEWALK
-NOISE STREET/SIDEWALK => NOISE - STREET/SIDEWALK
-HEATING => HEAT/HOT WATER
-HEAT/HOT WATER
-GENERAL CONSTRUCTION/PLUMBING => GENERAL CONSTRUCTION
-GENERAL CONSTRUCTION
-NONCONST => NON-CONSTRUCTION
-NON-CONSTRUCTION
-STREET CONDITION
-ILLEGAL PARKING
-BLOCKED DRIVEWAY
-WATER SYSTEM
-PLUMBING
-PAINT/PLASTER => PAINT - PLASTER
-PAINT - PLASTER
-UNSANITARY CONDITION
-DIRTY CONDITIONS => DIRTY CONDITION
-DIRTY CONDITION
-SANITATION CONDITION
-DAMAGED TREE
-ROOT/SEWER/SIDEWALK CONDITION
-DERELICT VEHICLE
-DERELICT VEHICLES => DERELICT VEHICLE
-ABANDONED VEHICLE => DERELICT VEHICLE
-REQUEST LARGE BULKY ITEM COLLECTION => BULKY ITEM COLLECTION
-ELECTRIC
-DOOR/WINDOW
-FLOORING/STAIRS
-APPLIANCE
-SAFETY
-OUTSIDE BUILDING
-RODENT
-AIR QUALITY
-SEWER
-TRAFFIC SIGNAL CONDITION
-STREET LIGHT CONDITION
-GRAFFITI
-HOMELESS PERSON ASSISTANCE
-ENCAMPMENT
-CONSUMER COMPLAINT
-FOOD ESTABLISHMENT
-INDOOR AIR QUALITY
-MISSED COLLECTION
-MISSED COLLECTION (ALL MATERIALS) => MISSED COLLECTION
-ILLEGAL DUMPING
-ILLEGAL FIREWORKS
-ELEVATOR
-WATER QUALITY
-SIDEWALK CONDITION
-BUILDING/USE
-MAINTENANCE OR FACILITY
-NEW TREE REQUEST
-TAXI COMPLAINT
-FOR HIRE VEHICLE COMPLAINT
-ANIMAL ABUSE
-ANIMAL-ABUSE => ANIMAL ABUSE
-DEAD/DYING TREE
-DEAD TREE => DEAD/DYING TREE
-"""
-
-# Borough names and the spellings each one is known by.
-BOROUGH_SPELLINGS_TEXT = """
-MANHATTAN: MANHATTAN, NEW YORK, NY
-BRONX: BRONX, THE BRONX, BRONX COUNTY
-BROOKLYN: BROOKLYN, KINGS
-QUEENS: QUEENS
-STATEN ISLAND: STATEN ISLAND, STATEN IS, RICHMOND
-"""
+# Category aliases (feed label, canonical label). Only the first counts as a
+# recognized category.
+CATEGORY_ALIASES = [
+    ("NOISE - RESIDENTIAL", "NOISE - RESIDENTIAL"),
+    ("NOISE RESIDENTIAL", "NOISE - RESIDENTIAL"),
+    ("NOISE - COMMERCIAL", "NOISE - COMMERCIAL"),
+    ("NOISE COMMERCIAL", "NOISE - COMMERCIAL"),
+    ("NOISE - STREET/SIDEWALK", "NOISE - STREET/SIDEWALK"),
+    ("NOISE STREET/SIDEWALK", "NOISE - STREET/SIDEWALK"),
+    ("HEATING", "HEAT/HOT WATER"),
+    ("HEAT/HOT WATER", "HEAT/HOT WATER"),
+    ("GENERAL CONSTRUCTION/PLUMBING", "GENERAL CONSTRUCTION"),
+    ("GENERAL CONSTRUCTION", "GENERAL CONSTRUCTION"),
+    ("NONCONST", "NON-CONSTRUCTION"),
+    ("NON-CONSTRUCTION", "NON-CONSTRUCTION"),
+    ("STREET CONDITION", "STREET CONDITION"),
+    ("ILLEGAL PARKING", "ILLEGAL PARKING"),
+    ("BLOCKED DRIVEWAY", "BLOCKED DRIVEWAY"),
+    ("WATER SYSTEM", "WATER SYSTEM"),
+    ("PLUMBING", "PLUMBING"),
+    ("PAINT/PLASTER", "PAINT - PLASTER"),
+    ("PAINT - PLASTER", "PAINT - PLASTER"),
+    ("UNSANITARY CONDITION", "UNSANITARY CONDITION"),
+    ("DIRTY CONDITIONS", "DIRTY CONDITION"),
+    ("DIRTY CONDITION", "DIRTY CONDITION"),
+    ("SANITATION CONDITION", "SANITATION CONDITION"),
+    ("DAMAGED TREE", "DAMAGED TREE"),
+    ("ROOT/SEWER/SIDEWALK CONDITION", "ROOT/SEWER/SIDEWALK CONDITION"),
+    ("DERELICT VEHICLE", "DERELICT VEHICLE"),
+    ("DERELICT VEHICLES", "DERELICT VEHICLE"),
+    ("ABANDONED VEHICLE", "DERELICT VEHICLE"),
+    ("REQUEST LARGE BULKY ITEM COLLECTION", "BULKY ITEM COLLECTION"),
+    ("ELECTRIC", "ELECTRIC"),
+    ("DOOR/WINDOW", "DOOR/WINDOW"),
+    ("FLOORING/STAIRS", "FLOORING/STAIRS"),
+    ("APPLIANCE", "APPLIANCE"),
+    ("SAFETY", "SAFETY"),
+    ("OUTSIDE BUILDING", "OUTSIDE BUILDING"),
+    ("RODENT", "RODENT"),
+    ("AIR QUALITY", "AIR QUALITY"),
+    ("SEWER", "SEWER"),
+    ("TRAFFIC SIGNAL CONDITION", "TRAFFIC SIGNAL CONDITION"),
+    ("STREET LIGHT CONDITION", "STREET LIGHT CONDITION"),
+    ("GRAFFITI", "GRAFFITI"),
+    ("HOMELESS PERSON ASSISTANCE", "HOMELESS PERSON ASSISTANCE"),
+    ("ENCAMPMENT", "ENCAMPMENT"),
+    ("CONSUMER COMPLAINT", "CONSUMER COMPLAINT"),
+    ("FOOD ESTABLISHMENT", "FOOD ESTABLISHMENT"),
+    ("INDOOR AIR QUALITY", "INDOOR AIR QUALITY"),
+    ("MISSED COLLECTION", "MISSED COLLECTION"),
+    ("MISSED COLLECTION (ALL MATERIALS)", "MISSED COLLECTION"),
+    ("ILLEGAL DUMPING", "ILLEGAL DUMPING"),
+    ("ILLEGAL FIREWORKS", "ILLEGAL FIREWORKS"),
+    ("ELEVATOR", "ELEVATOR"),
+    ("WATER QUALITY", "WATER QUALITY"),
+    ("SIDEWALK CONDITION", "SIDEWALK CONDITION"),
+    ("BUILDING/USE", "BUILDING/USE"),
+    ("MAINTENANCE OR FACILITY", "MAINTENANCE OR FACILITY"),
+    ("NEW TREE REQUEST", "NEW TREE REQUEST"),
+    ("TAXI COMPLAINT", "TAXI COMPLAINT"),
+    ("FOR HIRE VEHICLE COMPLAINT", "FOR HIRE VEHICLE COMPLAINT"),
+    ("ANIMAL ABUSE", "ANIMAL ABUSE"),
+    ("ANIMAL-ABUSE", "ANIMAL ABUSE"),
+    ("DEAD/DYING TREE", "DEAD/DYING TREE"),
+    ("DEAD TREE", "DEAD/DYING TREE"),
+]
+
+# Spellings and the borough each one stands for.
+BOROUGH_SPELLINGS = [
+    ("MANHATTAN", "MANHATTAN"),
+    ("NEW YORK", "MANHATTAN"),
+    ("NY", "MANHATTAN"),
+    ("BRONX", "BRONX"),
+    ("THE BRONX", "BRONX"),
+    ("BRONX COUNTY", "BRONX"),
+    ("BROOKLYN", "BROOKLYN"),
+    ("KINGS", "BROOKLYN"),
+    ("QUEENS", "QUEENS"),
+    ("STATEN ISLAND", "STATEN ISLAND"),
+    ("STATEN IS", "STATEN ISLAND"),
+    ("RICHMOND", "STATEN ISLAND"),
+]
 
 # Address words and the short form used in the address key.
-ADDRESS_WORDS_TEXT = """
-NORTH N
-SOUTH S
-EAST E
-WEST W
-NORTHEAST NE
-NORTHWEST NW
-SOUTHEAST SE
-SOUTHWEST SW
-STREET ST
-AVENUE AVE
-AV AVE
-ROAD RD
-BOULEVARD BLVD
-DRIVE DR
-PLACE PL
-COURT CT
-LANE LN
-TERRACE TER
-PARKWAY PKWY
-HIGHWAY HWY
-SQUARE SQ
-CIRCLE CIR
-EXPRESSWAY EXPY
-TURNPIKE TPKE
-PLAZA PLZ
-"""
+ADDRESS_WORDS = [
+    ("NORTH", "N"),
+    ("SOUTH", "S"),
+    ("EAST", "E"),
+    ("WEST", "W"),
+    ("NORTHEAST", "NE"),
+    ("NORTHWEST", "NW"),
+    ("SOUTHEAST", "SE"),
+    ("SOUTHWEST", "SW"),
+    ("STREET", "ST"),
+    ("AVENUE", "AVE"),
+    ("AV", "AVE"),
+    ("ROAD", "RD"),
+    ("BOULEVARD", "BLVD"),
+    ("DRIVE", "DR"),
+    ("PLACE", "PL"),
+    ("COURT", "CT"),
+    ("LANE", "LN"),
+    ("TERRACE", "TER"),
+    ("PARKWAY", "PKWY"),
+    ("HIGHWAY", "HWY"),
+    ("SQUARE", "SQ"),
+    ("CIRCLE", "CIR"),
+    ("EXPRESSWAY", "EXPY"),
+    ("TURNPIKE", "TPKE"),
+    ("PLAZA", "PLZ"),
+]
 
 # ZIP ranges (first, last, borough), both ends included.
-ZIP_RANGES_TEXT = """
-10001 10286 MANHATTAN
-10292 10292 MANHATTAN
-10301 10314 STATEN ISLAND
-10451 10475 BRONX
-11004 11005 QUEENS
-11101 11120 QUEENS
-11201 11256 BROOKLYN
-11351 11436 QUEENS
-11691 11697 QUEENS
-"""
+ZIP_RANGES = [
+    (10001, 10286, "MANHATTAN"),
+    (10292, 10292, "MANHATTAN"),
+    (10301, 10314, "STATEN ISLAND"),
+    (10451, 10475, "BRONX"),
+    (11004, 11005, "QUEENS"),
+    (11101, 11120, "QUEENS"),
+    (11201, 11256, "BROOKLYN"),
+    (11351, 11436, "QUEENS"),
+    (11691, 11697, "QUEENS"),
+]
 
 # ZIPs without a single borough, and the boroughs accepted for each.
-SHARED_ZIPS_TEXT = """
-10463: BRONX, MANHATTAN
-11370: QUEENS
-"""
+SHARED_ZIPS = [
+    ("10463", ["BRONX", "MANHATTAN"]),
+    ("11370", ["QUEENS"]),
+]
 
 # City bounding box in degrees (inclusive), zero-coordinate tolerance, Earth radius.
 BBOX_MIN_LAT = 40.477
@@ -136,26 +143,26 @@ BBOX_MAX_LON = -73.700
 ZERO_TOLERANCE = 1e-6
 EARTH_RADIUS_KM = 6371.0088
 
-# Rule registry in report order, "name | severity | detail text".
+# Rule registry in report order (name, severity, detail text).
 # {..} marks the parts filled per record.
-RULES_TEXT = """
-unique_key_missing | reject | unique_key is absent
-complaint_type_missing | reject | complaint_type is absent
-complaint_type_unrecognized | observe | complaint type is not in the known-category table; record kept
-created_date_missing | reject | created_date is absent
-created_date_future | flag | created_date is in the future
-closed_before_created | flag | closed_date precedes created_date by {delta}
-zip_missing | flag | incident_zip is empty
-zip_malformed | flag | incident_zip is not a parseable five-digit ZIP
-zip_outside_nyc | flag | ZIP is well-formed but not allocated to New York City
-coords_missing | flag | latitude and longitude are both absent
-coords_partial | flag | exactly one of latitude/longitude is present
-coords_null_island | flag | coordinates are (0, 0) -- a null sentinel, not a location
-coords_swapped | flag | latitude and longitude appear transposed
-coords_outside_nyc | flag | coordinates fall outside the New York City bounding box
-borough_zip_conflict | flag | borough is {borough} but ZIP {zip} is allocated to {expected}
-borough_geo_conflict | flag | borough is {borough} but the coordinates fall in {found}
-"""
+RULES = [
+    ("unique_key_missing", "reject", "unique_key is absent"),
+    ("complaint_type_missing", "reject", "complaint_type is absent"),
+    ("complaint_type_unrecognized", "observe", "complaint type is not in the known-category table; record kept"),
+    ("created_date_missing", "reject", "created_date is absent"),
+    ("created_date_future", "flag", "created_date is in the future"),
+    ("closed_before_created", "flag", "closed_date precedes created_date by {delta}"),
+    ("zip_missing", "flag", "incident_zip is empty"),
+    ("zip_malformed", "flag", "incident_zip is not a parseable five-digit ZIP"),
+    ("zip_outside_nyc", "flag", "ZIP is well-formed but not allocated to New York City"),
+    ("coords_missing", "flag", "latitude and longitude are both absent"),
+    ("coords_partial", "flag", "exactly one of latitude/longitude is present"),
+    ("coords_null_island", "flag", "coordinates are (0, 0) -- a null sentinel, not a location"),
+    ("coords_swapped", "flag", "latitude and longitude appear transposed"),
+    ("coords_outside_nyc", "flag", "coordinates fall outside the New York City bounding box"),
+    ("borough_zip_conflict", "flag", "borough is {borough} but ZIP {zip} is allocated to {expected}"),
+    ("borough_geo_conflict", "flag", "borough is {borough} but the coordinates fall in {found}"),
+]
 
 # Tolerances of the date rules.
 CLOSE_SKEW = "INTERVAL 1 MINUTE"
@@ -175,50 +182,3 @@ TEXT_LENGTHS = {
 
 # Feed fields that may hold the update time, in order of preference.
 UPDATE_TIME_FIELDS = (":updated_at", "updated_at", ":updated_at_meta")
-
-
-def _lines(text):
-    return [line for line in text.strip().splitlines() if line]
-
-
-def category_aliases():
-    """[(feed label, canonical label)]"""
-    rows = []
-    for line in _lines(CATEGORY_ALIASES_TEXT):
-        label, _, canonical = line.partition(" => ")
-        rows.append((label, canonical or label))
-    return rows
-
-
-def borough_spellings():
-    """[(spelling, borough)]"""
-    rows = []
-    for line in _lines(BOROUGH_SPELLINGS_TEXT):
-        borough, spellings = line.split(": ")
-        rows += [(s, borough) for s in spellings.split(", ")]
-    return rows
-
-
-def address_words():
-    return [tuple(line.split(" ")) for line in _lines(ADDRESS_WORDS_TEXT)]
-
-
-def zip_ranges():
-    rows = []
-    for line in _lines(ZIP_RANGES_TEXT):
-        lo, hi, borough = line.split(" ", 2)
-        rows.append((int(lo), int(hi), borough))
-    return rows
-
-
-def shared_zips():
-    rows = []
-    for line in _lines(SHARED_ZIPS_TEXT):
-        zip5, boroughs = line.split(": ")
-        rows.append((zip5, boroughs.split(", ")))
-    return rows
-
-
-def rules():
-    """[(name, severity, detail text)] in report order."""
-    return [tuple(line.split(" | ")) for line in _lines(RULES_TEXT)]

@@ -9,7 +9,7 @@ from tidemark import fixed_values as fixed
 
 
 def _shared(zip5: Column) -> Column:
-    return zip5.isin([z for z, _ in fixed.shared_zips()])
+    return zip5.isin([z for z, _ in fixed.SHARED_ZIPS])
 
 
 def borough_of_zip(zip5: Column) -> Column:
@@ -18,7 +18,7 @@ def borough_of_zip(zip5: Column) -> Column:
     Five-digit codes compare as text in the same order as as numbers.
     """
     branch = F.when(_shared(zip5) | (F.length(zip5) != 5), F.lit(None).cast("string"))
-    for lo, hi, borough in fixed.zip_ranges():
+    for lo, hi, borough in fixed.ZIP_RANGES:
         branch = branch.when(zip5.between(f"{lo:05d}", f"{hi:05d}"), F.lit(borough))
     return branch
 
@@ -31,7 +31,7 @@ def zip_in_city(zip5: Column, zip_borough: Column) -> Column:
 def zip_matches_borough(zip5: Column, zip_borough: Column, borough: Column) -> Column:
     """True or false when both sides have an opinion, else NULL."""
     branch = None
-    for shared, allowed in fixed.shared_zips():
+    for shared, allowed in fixed.SHARED_ZIPS:
         found = borough.isin(allowed)
         branch = F.when(zip5 == shared, found) if branch is None else branch.when(zip5 == shared, found)
     return branch.otherwise(zip_borough == borough)

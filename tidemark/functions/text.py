@@ -58,7 +58,7 @@ def category_key(collapsed: Column) -> Column:
 
 def borough_name(collapsed: Column) -> Column:
     """Canonical borough; anything unknown, empty or 'Unspecified…' is NULL."""
-    return F.try_element_at(literal_map(fixed.borough_spellings()), F.upper(collapsed))
+    return F.try_element_at(literal_map(fixed.BOROUGH_SPELLINGS), F.upper(collapsed))
 
 
 def zip_digits(c: Column) -> Column:
@@ -79,7 +79,7 @@ def address_key(c: Column) -> Column:
     """
     words = F.regexp_replace(F.upper(c), r"[^A-Z0-9]+", " ")
     words = F.trim(F.regexp_replace(words, r"\b(\d+)(?:ST|ND|RD|TH)\b", "$1"))
-    short = literal_map(fixed.address_words())
+    short = literal_map(fixed.ADDRESS_WORDS)
     tokens = F.transform(
         F.split(words, " "), lambda w: F.coalesce(F.try_element_at(short, w), w)
     )

@@ -21,13 +21,13 @@ def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> D
 def category_table(spark: SparkSession) -> DataFrame:
     """category_key -> canonical_category. Tens of fixed rows, so broadcasting is safe."""
     return literal_table(
-        spark, ["category_key", "canonical_category"], fixed.category_aliases()
+        spark, ["category_key", "canonical_category"], fixed.CATEGORY_ALIASES
     )
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """rule, severity, ord: every built-in rule, in report order."""
-    rows = [(name, severity, i) for i, (name, severity, _) in enumerate(fixed.rules())]
+    rows = [(name, severity, i) for i, (name, severity, _) in enumerate(fixed.RULES)]
     return literal_table(spark, ["rule", "severity", "ord"], rows)
 
 
@@ -38,10 +38,10 @@ def zip_directory(spark: SparkSession, ranges: list[tuple] | None = None) -> Dat
     Unrolling the ranges turns the range lookup into a hash join on the ZIP. Bounds beyond five
     digits are refused, so the table has at most 100 000 rows whatever the ranges are.
     """
-    ranges = fixed.zip_ranges() if ranges is None else ranges
+    ranges = fixed.ZIP_RANGES if ranges is None else ranges
     if not all(0 <= lo <= 99_999 and 0 <= hi <= 99_999 for lo, hi, _ in ranges):
         raise ValueError("ZIP ranges must lie between 0 and 99999")
-    shared = [z for z, _ in fixed.shared_zips()]
+    shared = [z for z, _ in fixed.SHARED_ZIPS]
     numbered = [(*r, i) for i, r in enumerate(ranges)]
     table = literal_table(spark, ["lo", "hi", "zip_borough", "ord"], numbered)
     return (

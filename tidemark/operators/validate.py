@@ -51,7 +51,7 @@ def builtin_checks(as_of: Column | None, columns: list[str]) -> dict[str, list[R
     """The 16 registered rules. Without ``as_of`` the future-date rule has no opinion; without a
     ``found_borough`` column the polygon rule is not checked."""
     c = F.col
-    known = {name: (severity, detail) for name, severity, detail in fixed.rules()}
+    known = {name: (severity, detail) for name, severity, detail in fixed.RULES}
 
     def rule(name: str, when: Column, value: Column | None = None, **parts: Column) -> Rule:
         severity, detail = known[name]
@@ -288,7 +288,7 @@ def rule_counts(
     Counts the check columns directly: one row per task is shuffled, nothing is exploded.
     """
     columns = ", ".join(check_columns(validated))
-    known = [(name, severity) for name, severity, _ in fixed.rules()]
+    known = [(name, severity) for name, severity, _ in fixed.RULES]
     added = [(r.name, r.severity) for rules in (extra_checks or {}).values() for r in rules]
     known += dict.fromkeys(a for a in added if a[0] not in dict(known))
     counts = validated.agg(

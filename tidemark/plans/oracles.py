@@ -28,7 +28,7 @@ def _time(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
-_RULES = [(name, severity, i) for i, (name, severity, _) in enumerate(fixed.rules())]
+_RULES = [(name, severity, i) for i, (name, severity, _) in enumerate(fixed.RULES)]
 _RULE_CASES = {
     "unique_key_missing": "unique_key IS NULL",
     "complaint_type_missing": "complaint_type_raw IS NULL",
@@ -75,7 +75,7 @@ _FIELD_VALUES = {
 
 def _failures_cte() -> str:
     parts = []
-    texts = {name: (severity, detail) for name, severity, detail in fixed.rules()}
+    texts = {name: (severity, detail) for name, severity, detail in fixed.RULES}
     for name, condition in _RULE_CASES.items():
         severity, detail = texts[name]
         detail = _DETAILS.get(name, f"'{detail}'")
@@ -119,9 +119,9 @@ feed AS (
     date_trunc('second', ts) + to_seconds(60 * k) AS source_updated_at
   FROM ev
 ),
-aliases(label, canonical) AS (VALUES {_values(fixed.category_aliases())}),
-spellings(spelling, borough) AS (VALUES {_values(fixed.borough_spellings())}),
-ranges(lo, hi, zip_borough) AS (VALUES {_values(fixed.zip_ranges())}),
+aliases(label, canonical) AS (VALUES {_values(fixed.CATEGORY_ALIASES)}),
+spellings(spelling, borough) AS (VALUES {_values(fixed.BOROUGH_SPELLINGS)}),
+ranges(lo, hi, zip_borough) AS (VALUES {_values(fixed.ZIP_RANGES)}),
 tidy AS (
   SELECT *,
     upper(trim(regexp_replace(complaint_type_raw, '\\s+', ' ', 'g'))) AS label,
@@ -130,7 +130,7 @@ tidy AS (
     array_to_string(list_transform(
       string_split(regexp_replace(trim(regexp_replace(regexp_replace(upper(address_raw),
         '[^A-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b(\\d+)(ST|ND|RD|TH)\\b', '\\1', 'g'), ' '),
-      lambda t: coalesce({_map(fixed.address_words())}[t], t)), ' ') AS address_norm,
+      lambda t: coalesce({_map(fixed.ADDRESS_WORDS)}[t], t)), ' ') AS address_norm,
     TRY_CAST(lat_raw AS DOUBLE) AS latitude, TRY_CAST(lon_raw AS DOUBLE) AS longitude
   FROM feed
 ),

@@ -367,7 +367,7 @@ def stored_rule_counts(failures: DataFrame) -> DataFrame:
         .join(counted, "rule", "full")
         .withColumn("failures", F.coalesce("failures", F.lit(0).cast("bigint")))
         .withColumn("severity", F.coalesce("severity", "found"))
-        .withColumn("ord", F.coalesce("ord", F.lit(len(fixed.rules()))))
+        .withColumn("ord", F.coalesce("ord", F.lit(len(fixed.RULES))))
         .drop("found")
     )
 

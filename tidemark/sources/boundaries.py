@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.fixed_values import borough_spellings
+from tidemark.fixed_values import BOROUGH_SPELLINGS
 
 _GEOJSON = (
     "features array<struct<properties:struct<boro_name:string,BoroName:string>,"
@@ -22,7 +22,7 @@ def read_boundaries(
     ``names`` are the areas wanted, in upper case, the five boroughs by default; other features are
     passed over. Holes are left out. Fails when the file does not give the expected number of areas.
     """
-    boroughs = sorted({b for _, b in borough_spellings()}) if names is None else names
+    boroughs = sorted({b for _, b in BOROUGH_SPELLINGS}) if names is None else names
     features = spark.read.schema(_GEOJSON).option("multiLine", True).json(path)
     one = features.select(F.posexplode("features").alias("feature", "f")).select(
         "feature",
@@ -61,7 +61,7 @@ def build_boundaries(
 ) -> DataFrame:
     """Reads the GeoJSON file, checks that every wanted area is there, and stores the polygons at
     ``path``, where :func:`load_boundaries` finds them. A file that lacks an area changes nothing."""
-    wanted = len({b for _, b in borough_spellings()}) if names is None else len(set(names))
+    wanted = len({b for _, b in BOROUGH_SPELLINGS}) if names is None else len(set(names))
     read_boundaries(spark, geojson, wanted, names).write.mode("overwrite").parquet(path)
     return load_boundaries(spark, path)
 
