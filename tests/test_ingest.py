@@ -155,7 +155,10 @@ def test_a_committed_batch_is_not_applied_twice(spark, streamed):
     assert store.head()["version"] == version and tables(store) == before
 
 
-def test_batch_equals_stream(spark, streamed, tmp_path):
+@pytest.mark.parametrize("walk_below", [0, 1_000])
+def test_batch_equals_stream(spark, streamed, tmp_path, monkeypatch, walk_below):
+    """Also where each batch walks its clusters, and where each reads its groups whole."""
+    monkeypatch.setattr(ingest, "WALK_BELOW", walk_below)
     base, store, _, _, _ = streamed
     other = SnapshotStore(spark, str(tmp_path / "store"))
     for page in ("1.json", "2.json"):

@@ -21,6 +21,10 @@ from tidemark.sources.snapshots import SnapshotStore, appended, replaced
 
 _GROUP = list(duplicates.GROUP)
 
+#: A batch that touches fewer than one in so many days has its clusters walked outward. One that touches
+#: more, as a first load does, would walk through everything, so its groups are read whole, once.
+WALK_BELOW = 3
+
 
 def _day(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
@@ -74,15 +78,22 @@ def apply_batch(
     narrow = ["unique_key", *_GROUP, "created_date", "part"]
     before = store.stage("before", head, stored.join(keys, "unique_key", "left_semi").select(*narrow))
 
-    # Links: clusters are walked outward from where a record was or is now, day by day.
+    # Links: of clusters about where a record was or is now.
     def as_they_are_now(days: list[str]) -> DataFrame:
         kept = store.read("clean", head, days).join(keys, "unique_key", "left_anti")
         return kept.select(*narrow, F.col("is_duplicate_of").alias("was")).unionByName(
             applied.where(F.col("part").isin(days)).select(*narrow), allowMissingColumns=True
         )
 
-    touched = applied.select(*narrow).unionByName(before).select(*_GROUP, "created_date")
-    linked = incremental.relink(as_they_are_now, touched, cfg.dedup_window_minutes)
+    touched = applied.select(*narrow).unionByName(before).select(*_GROUP, "created_date", "part")
+    days = _list(touched.select("part"))
+    every_day = sorted({*store.days(head, "clean"), *days})
+    if len(days) * WALK_BELOW < len(every_day):
+        linked = incremental.relink(as_they_are_now, touched, cfg.dedup_window_minutes)
+    else:
+        groups = duplicates.touched_groups(touched)
+        members = as_they_are_now(every_day).join(groups, _GROUP, "left_semi")
+        linked = duplicates.mark_duplicates(members, cfg.dedup_window_minutes)
     marked = store.stage(
         "marked", head, linked.select("unique_key", "part", "was", F.col("is_duplicate_of").alias("now"))
     )
