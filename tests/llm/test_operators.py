@@ -553,6 +553,23 @@ def test_passages_recall(spark):
     assert all(r.other_id in (None, r.doc_id ^ 1) for r in got)
 
 
+@pytest.mark.parametrize("period", [1, 4, 7])
+def test_passages_of_words_repeated_often(period):
+    """Every seed stands in the other text more often than MOST_PAIRED; no word of the passage is lost."""
+    unit = [f"u{i}" for i in range(period)]
+    own = ["a", "b", *(unit * 120)[:120], "c"]
+    other = ["d", *(unit * 150)[:150], "e", "f"]
+    words = [(passages.word_codes(" ".join(t)) & 0xFFFF).astype("uint16") for t in (own, other)]
+    found = passages.alike(*words)
+    assert set(range(2, 122)) <= {w for a, b, *_ in found for w in range(a, b)}
+    assert set(range(1, 151)) <= {w for _, _, c, d, _ in found for w in range(c, d)}
+    assert len(found) <= 4
+    # Also where the copy is cut in parts by words put in between, and not once for each shift.
+    cut = [w for i in range(0, 120, 20) for w in [*own[2:][i : i + 20], "x"]]
+    words = [(passages.word_codes(" ".join(t)) & 0xFFFF).astype("uint16") for t in (own, cut)]
+    assert set(range(2, 118)) <= {w for a, b, *_ in passages.alike(*words) for w in range(a, b)}
+
+
 def test_passages_of_lines_held_elsewhere(spark):
     rng = random.Random(6)
     fresh = iter(range(10**6))
