@@ -72,3 +72,16 @@ def test_ids_beyond_2_53_beside_a_null(spark):
     order = sorted(rows[:-1], reverse=True) + [rows[-1]]
     for (ident, text), (_, following) in zip(order, order[1:] + order[:1]):
         assert got[ident].edited_text == weighted_sampling.edited(text, following)
+
+
+def test_words_met_before_are_not_hashed_again(monkeypatch):
+    """Of words that stand once, the sample takes the hash kept with their draws."""
+    draws = weighted_sampling.Draws()
+    counts = weighted_sampling.bag("one two three four five six")
+    first = weighted_sampling.sample(counts, draws)
+    plain, calls = weighted_sampling.xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(weighted_sampling.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or plain(*a))
+    again = weighted_sampling.sample(counts, draws)
+    assert not calls
+    assert again.tolist() == first.tolist()
+    assert set(first.tolist()) <= {plain(w, 0) & 0xFFFF for w in counts}

@@ -41,24 +41,32 @@ class _Remembered:
         self.old: dict[bytes, int] = {}
         self.table = np.empty((most, width), dtype=np.float32)
         self.old_table = np.empty((most, width), dtype=np.float32)
+        # The last 16 bits of the words' hashes.
+        self.codes, self.old_codes = np.empty(most, dtype="<u2"), np.empty(most, dtype="<u2")
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """One row a word; at most ``most`` words at a time."""
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """One row and one code a word; at most ``most`` words at a time."""
         new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > self.most:
             self.rows, self.old = {}, self.rows
             self.table, self.old_table = self.old_table, self.table
+            self.codes, self.old_codes = self.old_codes, self.codes
             new = words
         moved = [w for w in new if w in self.old]
         made = [w for w in new if w not in self.old]
         at = len(self.rows)
         if moved:
-            self.table[at : at + len(moved)] = self.old_table[[self.old[w] for w in moved]]
+            places = [self.old[w] for w in moved]
+            self.table[at : at + len(moved)] = self.old_table[places]
+            self.codes[at : at + len(moved)] = self.old_codes[places]
             at += len(moved)
         if made:
-            self.make(_hashes(made), self.table[at : at + len(made)])
+            hashes = _hashes(made)
+            self.make(hashes, self.table[at : at + len(made)])
+            self.codes[at : at + len(made)] = hashes & np.uint64(0xFFFF)
         self.rows.update(zip(moved + made, range(len(self.rows), len(self.rows) + len(new))))
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        places = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return self.table.take(places, axis=0), self.codes[places]
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -128,30 +136,42 @@ def sample(counts: Counter[bytes], draws: Draws) -> np.ndarray:
     best, chosen = np.full(n, np.inf, dtype=np.float32), np.zeros(n, dtype="<u2")
     # Repeated words first, then the others.
     heavy = [w for w, k in counts.items() if k > 1]
+    owners: list[tuple[bytes, int] | None] = [None] * n
     for at in range(0, len(heavy), HEAVY_WORDS):
         words = heavy[at : at + HEAVY_WORDS]
-        drawn = draws.heavy.of(words)
+        drawn, _ = draws.heavy.of(words)
         r, b, c = drawn[:, :n], drawn[:, n : 2 * n], drawn[:, 2 * n :]
         logs = np.log(np.fromiter(map(counts.__getitem__, words), np.float32, len(words)))
         t = np.floor(logs[:, None] / r + b)
-        _lower(best, chosen, words, c * np.exp(-r * (t - b + 1)), t)
-    light = [w for w, k in counts.items() if k == 1]
+        better, low = _lower(best, c * np.exp(-r * (t - b + 1)))
+        for k, i, step in zip(better.tolist(), low.tolist(), t[low, better].tolist()):
+            owners[k] = words[i], int(step)
+    light = list(counts) if not heavy else [w for w, k in counts.items() if k == 1]
+    of_heavy = np.ones(n, bool)
     for at in range(0, len(light), LIGHT_WORDS):
-        words = light[at : at + LIGHT_WORDS]
-        _lower(best, chosen, words, draws.light.of(words), None)
+        a, codes = draws.light.of(light[at : at + LIGHT_WORDS])
+        better, low = _lower(best, a)
+        # At weight 1 t is 0, and a word's hash with it is the hash it draws by.
+        chosen[better] = codes[low]
+        of_heavy[better] = False
+    if heavy:
+        for k in np.flatnonzero(of_heavy).tolist():
+            if owners[k]:
+                chosen[k] = xxhash.xxh64_intdigest(*owners[k]) & 0xFFFF
     return chosen
 
 
-def _lower(best: np.ndarray, chosen: np.ndarray, words: list[bytes], a: np.ndarray, t) -> None:
-    """Takes over the samples where one of the words has a smaller a."""
-    low = np.ascontiguousarray(a.T).argmin(axis=1)
-    at = np.arange(len(best))
-    values = a[low, at]
-    better = np.flatnonzero(values < best)
-    best[better] = values[better]
-    for k in better.tolist():
-        word = words[low[k]]
-        chosen[k] = xxhash.xxh64_intdigest(word, int(t[low[k], k]) if t is not None else 0) & 0xFFFF
+def _lower(best: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowers ``best`` to the smallest of each column of ``a``: the columns where it did, and the first row
+    that holds the smallest."""
+    least = a.min(axis=0)
+    better = np.flatnonzero(least < best)
+    # Row by row, so of equal numbers the first row is written last.
+    rows, columns = np.divmod(np.flatnonzero(a == least), a.shape[1])
+    low = np.zeros(a.shape[1], np.int64)
+    low[columns[::-1]] = rows[::-1]
+    best[better] = least[better]
+    return better, low[better]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
