@@ -305,3 +305,22 @@ def test_scans_read_days_of_arrival_and_resets_replay_them(spark, tmp_path):
     assert again["rows_fetched"] == 3 and again["rows_inserted"] == 0
     assert served(stream) == before
     assert ingest.run_stream(stream, str(landing), many)["rows_fetched"] == 0
+
+
+def test_a_day_lands_as_one_file_however_large(spark, tmp_path):
+    """Micro-batches are counted in files, so a day that fell into many files made many batches."""
+    from tidemark.plans.queries import _land
+    from tidemark.sources.feed import ARRIVED
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        lines = spark.range(0, 60_000, numPartitions=4).select(
+            F.sha2(F.col("id").cast("string"), 256).alias("value"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias(ARRIVED),
+        )
+        _land(lines, f"{tmp_path}/landing")
+    finally:
+        spark.conf.unset(size)
+    assert sorted(len(list(d.glob("*.txt"))) for d in (tmp_path / "landing").glob(f"{ARRIVED}=*")) == [1, 1, 1]
+    assert spark.read.text(f"{tmp_path}/landing").count() == 60_000

@@ -1006,6 +1006,13 @@ def run_status(spark, sf_dir):
 LANDED_FILES = 16
 
 
+def _land(rows: DataFrame, landing: str) -> None:
+    """Writes JSON lines (``value``) into a folder a day of arrival, one file each however large, so that as
+    many micro-batches come of them as the days need: every batch writes anew what it touches, and
+    batches that grow in number with the rows would make that quadratic. Text is split when it is read."""
+    rows.repartition(feed.ARRIVED).write.partitionBy(feed.ARRIVED).text(landing)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     """A store filled by streaming the landed feed, written as one folder of JSON per day."""
     key = (spark.sparkContext.applicationId, sf_dir, "stream")
@@ -1013,9 +1020,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> SnapshotStore:
         rows = derived.landed(spark, sf_dir)
         fields = rows.drop("event_id", "ts").columns
         landing = new_run_dir(spark, "landing")
-        rows.select(
-            F.to_json(F.struct(*fields)).alias("value"), F.to_date("ts").alias(feed.ARRIVED)
-        ).hint("rebalance", feed.ARRIVED).write.partitionBy(feed.ARRIVED).text(landing)
+        _land(rows.select(F.to_json(F.struct(*fields)).alias("value"), F.to_date("ts").alias(feed.ARRIVED)), landing)
         # A folder a day: links and days span several micro-batches.
         cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=LANDED_FILES)
         root = new_run_dir(spark, "store")
@@ -1111,9 +1116,7 @@ def _revised(spark: SparkSession, sf_dir: str) -> SnapshotStore:
             }
         )
         landing, root = new_run_dir(spark, "landing"), new_run_dir(spark, "store")
-        everything = sent(rows, 0).unionByName(sent(newer, 15)).unionByName(sent(older, 30))
-        days = everything.hint("rebalance", feed.ARRIVED)
-        days.write.partitionBy(feed.ARRIVED).text(landing)
+        _land(sent(rows, 0).unionByName(sent(newer, 15)).unionByName(sent(older, 30)), landing)
         store = SnapshotStore(spark, root)
         cfg = RunConfig(derived.AS_OF_TIME, max_files_per_trigger=LANDED_FILES)
         ingest.run_stream(store, landing, cfg)
