@@ -570,6 +570,24 @@ def test_passages_of_words_repeated_often(period):
     assert set(range(2, 118)) <= {w for a, b, *_ in passages.alike(*words) for w in range(a, b)}
 
 
+def test_passages_of_equal_forms_are_looked_at_once(monkeypatch):
+    """Texts that repeat other words in the same way share one look; chains that hold no new word are passed over."""
+    looked = []
+    real = passages.path
+    monkeypatch.setattr(passages, "path", lambda *a: looked.append(1) or real(*a))
+    form = lambda a, b, c: ([a] * 62 + [b] * 62, [a] * 47 + [c] * 15 + [b] * 62)
+    passages._alike_numbered.cache_clear()
+    first, second = (
+        passages.alike_once(*(np.array(side, np.uint16) for side in form(*words))) for words in ((1, 2, 3), (9, 7, 8))
+    )
+    assert first == second and passages._alike_numbered.cache_info().misses == 1
+    looked.clear()
+    own, other = (np.array(side, np.uint16) for side in form(1, 2, 3))
+    assert list(first) == passages.alike(own, other)
+    assert {w for a, b, *_ in first for w in range(a, b)} >= set(range(62, 124))
+    assert len(looked) < 100
+
+
 def test_passages_of_lines_held_elsewhere(spark):
     rng = random.Random(6)
     fresh = iter(range(10**6))
