@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from tidemark.streaming.newest import NewestRevisions
 
 SCHEMA = "id string, at timestamp, price int, note string"
@@ -56,3 +58,22 @@ def test_stale_and_repeated_rows_are_refused(spark, tmp_path):
     assert len(feed.batches) == 1
     assert feed.send([row("a", 6, 0), row("b", 0, 0)])["accepted"] == 2
     assert {r.id: r.price for r in feed.newest.current().collect()} == {"a": 0, "b": 0}
+
+
+def test_a_batch_goes_into_the_state_once(spark, tmp_path):
+    """Rows of a batch are read once, whatever is told about it and whoever takes the new revisions."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(key):
+        read.add(1)
+        return True
+
+    rows = [row(str(n), 1, n) for n in range(20)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/landing")
+    for name, accept in (("alone", None), ("handed on", lambda fresh, _: (fresh.count(), fresh.collect()))):
+        before = read.value
+        newest = NewestRevisions(spark, f"{tmp_path}/{name}", ("id",), "at", ("price", "note"))
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/landing").where(counted("id"))
+        assert newest.run(stream, accept) == {"rows": 20, "accepted": 20}
+        assert read.value - before == 20

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import written
 from tidemark.streaming.live_clusters import state_settings
 
 
@@ -57,14 +58,14 @@ class NewestRevisions:
         counted = {"accepted": 0}
 
         def each(touched: DataFrame, number: int) -> None:
-            # All new rows of a batch have its stamp, which is the latest there is.
-            stamp = touched.agg(F.min("newest.stamp")).first()[0]
-            now = -int(batch_time(number))
-            if stamp is None or stamp > now:
-                return
-            fresh = touched.where(F.col("newest.stamp") <= now)
-            counted["accepted"] += fresh.count()
+            # All new rows of a batch have its stamp, which is the latest there is. Each look at the batch
+            # takes its rows into the state again, so there is one, and ``accept`` reads what that wrote.
+            fresh = touched.where(F.col("newest.stamp") <= -batch_time(number))
             if accept:
+                fresh = written(fresh, "revisions")
+            new = fresh.count()
+            counted["accepted"] += new
+            if accept and new:
                 accept(self._named(fresh, "newest", {k: k for k in self.keys}), number)
 
         last: dict[int, int] = {}
