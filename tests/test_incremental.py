@@ -97,3 +97,20 @@ def test_rows_read_do_not_grow_with_the_group(spark):
         assert set(stored.days) <= {"2024-03-05", "2024-03-06", "2024-03-07"}
         reads.append(stored.read)
     assert reads[0] == reads[1]
+
+
+def test_touched_rows_are_computed_once(spark):
+    """However many rounds the walk has, what the batch touched is worked out in one of them."""
+    rows = [(f"{n:03}", "noise", "1 A ST", at(50 * n)) for n in range(8)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(group):
+        seen.add(1)
+        return True
+
+    places = spark.createDataFrame([r[1:] for r in rows[3:5]], "complaint_type_norm string, address_norm string, created_date timestamp")
+    got = incremental.relink(Stored(spark, rows), places.where(counted("address_norm")), 60)
+    whole = links(duplicates.mark_duplicates(spark.createDataFrame(rows, SCHEMA), 60))
+    assert links(got) == whole and len(whole) == 8
+    assert seen.value == 2

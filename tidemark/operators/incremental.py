@@ -108,7 +108,9 @@ def affected_records(
         )
 
     reach = FIRST_REACH
-    asked = beyond(seeds, list(range(-reach, reach + 1))).groupBy(*bucket).agg(F.bool_or("seed").alias("seed"))
+    first = beyond(seeds.distinct(), list(range(-reach, reach + 1))).groupBy(*bucket).agg(F.bool_or("seed").alias("seed"))
+    # Written, as its days, its records and its buckets are each looked up, and ``touched`` may cost a join of all rows.
+    asked = written(first, "asked")
     known = records = None
     while True:
         rows = _placed(read(_days(asked, width)), width, group, time, key)
@@ -121,11 +123,11 @@ def affected_records(
         reach *= 2
         forth = beyond(reached.where("right AND last"), list(range(1, reach + 1)))
         back = beyond(reached.where("left AND first"), list(range(-reach, 0)))
-        more = forth.unionByName(back).distinct().join(known.select(*bucket), bucket, "left_anti")
-        if more.isEmpty():
+        new = forth.unionByName(back).distinct().join(known.select(*bucket), bucket, "left_anti")
+        asked = written(new, "asked")
+        if asked.isEmpty():
             region = reached.where("(right OR left) AND n IS NOT NULL").select(*bucket)
             return records.join(region, bucket, "left_semi").drop(*bucket, "_us", "_key")
-        asked = written(more, "asked")
 
 
 def relink(

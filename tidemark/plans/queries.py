@@ -437,12 +437,12 @@ def incremental_links(spark, sf_dir):
     links = links.select("unique_key", "is_duplicate_of")
     for batch in (1, 2):
         was, new = now[batch - 1], now[batch]
-        changed = new.join(was, columns, "left_anti")
+        changed = written(new.join(was, columns, "left_anti").select(*columns), f"changed-{batch}")
         gone = was.join(changed.select("unique_key"), "unique_key", "left_semi")
         table = written_by_day(new, "ts", f"events-{batch}")
         walked = incremental.relink(
             lambda days, t=table: t.where(F.col("part").isin(days)),
-            changed.select(*columns).unionByName(gone.select(*columns)),
+            changed.unionByName(gone.select(*columns)),
             derived.DEDUP_MINUTES,
             EVENT_GROUP,
             "ts",
