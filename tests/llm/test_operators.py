@@ -588,6 +588,19 @@ def test_passages_of_equal_forms_are_looked_at_once(monkeypatch):
     assert len(looked) < 100
 
 
+def test_passages_begin_and_end_with_words_that_match(monkeypatch):
+    """Words beside a repeated run that match nothing are not searched for at each of its shifts."""
+    assert passages._dense(np.array([False] * 7 + [True] * 80 + [False] * 5)).tolist() == [False] * 7 + [True] * 80 + [False] * 5
+    looked = []
+    real = passages._passages_of
+    monkeypatch.setattr(passages, "_passages_of", lambda *a: looked.append(1) or real(*a))
+    own, other = (np.array(t, np.uint16) for t in ([1] * 31 + [2] * 60 + [3] * 31, [4] * 40 + [2] * 75 + [5] * 9))
+    found = passages.alike(own, other)
+    assert {w for a, b, *_ in found for w in range(a, b)} == set(range(31, 91))
+    assert {w for _, _, c, d, _ in found for w in range(c, d)} == set(range(40, 115))
+    assert len(looked) == len(found) == 2
+
+
 def test_passages_of_lines_held_elsewhere(spark):
     rng = random.Random(6)
     fresh = iter(range(10**6))
