@@ -262,3 +262,20 @@ def test_replay_tells_what_changed(spark):
         ("2", "coords_missing", "fixed"),
         ("2", "zip_missing", "new"),
     }
+
+
+def test_batch_is_checked_by_compiled_columns_straight_from_the_events(spark, tmp_path):
+    """No landing table is written for the checked batch, and no column of it is an interpreted array function."""
+    from tidemark.plans import derived
+
+    sf_dir = str(tmp_path)
+    rows = [(i, f"2024-01-0{i % 9 + 1} 10:00:00", i, "click", 1.5, '{"k": %d}' % i) for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{sf_dir}/events.parquet")
+    checked = derived.validated_now(spark, sf_dir)
+    assert not [k for k in derived._written if k[1] == sf_dir]
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "address_norm" in plan and "lambdafunction" not in plan
+    landed = V.validate(standardize(derived.landed(spark, sf_dir), keep=("event_id", "ts")), derived.as_of())
+    assert sorted(map(str, checked.collect())) == sorted(map(str, landed.collect()))
+    assert checked.schema.simpleString() == landed.schema.simpleString()

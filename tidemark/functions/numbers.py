@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+# The common form, read without the look for underscores.
+_PLAIN = r"^-?\d++(?:\.\d++)?\z"
 
 
 def parse_number(t: Column) -> Column:
@@ -13,7 +15,8 @@ def parse_number(t: Column) -> Column:
     The pattern guards the cast, which on its own would also take type suffixes ('1d').
     """
     return (
-        F.when(t.rlike(_NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+        F.when(t.rlike(_PLAIN), t.try_cast("double"))
+        .when(t.rlike(_NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
         .when(t.rlike(r"(?i)^[+-]?inf(inity)?$"), t.try_cast("double"))
         .when(t.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
     )

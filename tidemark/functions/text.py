@@ -13,9 +13,9 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _SPACE = r"[\s\x{1c}-\x{1f}]"
-# Cheap test for text that may need tidying: a blank at either end, two in a row, or a character
-# outside the ranges that hold no white space.
-_UNTIDY = r"^ | $|  |[^ -~\x{a1}-\x{167f}]"
+# Cheap test for text that needs no tidying: single blanks between words of the ranges that hold no
+# white space. Nothing in it is tried twice.
+_TIDY = r"^(?:[!-~\x{a1}-\x{167f}]++(?: [!-~\x{a1}-\x{167f}]++)*+)?+\z"
 
 
 def literal_map(pairs: list[tuple[str, str]]) -> Column:
@@ -31,9 +31,7 @@ def strip(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Every white-space run becomes one space; none at the ends. Tidy text is not rebuilt."""
-    return F.when(
-        c.rlike(_UNTIDY), F.trim(F.regexp_replace(c, f"(?U){_SPACE}+", " "))
-    ).otherwise(c)
+    return F.when(c.rlike(_TIDY), c).otherwise(F.trim(F.regexp_replace(c, f"(?U){_SPACE}+", " ")))
 
 
 def is_blank(c: Column) -> Column:
@@ -77,10 +75,13 @@ def address_key(c: Column) -> Column:
     Upper case, punctuation to spaces, ordinals to plain numbers, then each word replaced by
     its short form. Empty when nothing is left.
     """
-    words = F.regexp_replace(F.upper(c), r"[^A-Z0-9]+", " ")
-    words = F.trim(F.regexp_replace(words, r"\b(\d+)(?:ST|ND|RD|TH)\b", "$1"))
-    short = literal_map(fixed.ADDRESS_WORDS)
-    tokens = F.transform(
-        F.split(words, " "), lambda w: F.coalesce(F.try_element_at(short, w), w)
+    upper = F.upper(c)
+    words = F.when(upper.rlike(r"^[A-Z0-9]++(?: [A-Z0-9]++)*+\z"), upper).otherwise(
+        F.trim(F.regexp_replace(upper, r"[^A-Z0-9]+", " "))
     )
-    return F.array_join(tokens, " ")
+    # Each word between blanks of its own. No short form is itself a word to be shortened.
+    apart = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    apart = F.regexp_replace(apart, r" ([0-9]++)(?:ST|ND|RD|TH)(?= )", " $1")
+    for long, short in fixed.ADDRESS_WORDS:
+        apart = F.replace(apart, F.lit(f" {long} "), F.lit(f" {short} "))
+    return F.trim(F.replace(apart, F.lit("  "), F.lit(" ")))

@@ -10,6 +10,9 @@ _DAY_US = 86_400_000_000
 # Extended ISO: date, optional time to the hour or finer, optional offset. The pattern guards
 # the cast, which on its own would also take '2026' or '12:00'.
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+# The two forms most feeds hold throughout: full to the second without an offset, and whole epoch seconds.
+_FULL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d++)?\z"
+_WHOLE = r"^\d{9,11}\z"
 
 
 def read_iso(t: Column) -> Column:
@@ -41,17 +44,25 @@ def _epoch(t: Column, pattern: str) -> Column:
     )
 
 
+def _common_first(t: Column, pattern: str) -> Column:
+    """Times in the common forms are read at once, others by their patterns, with the same results."""
+    return (
+        F.when(t.rlike(_FULL), F.concat(t, F.lit("Z")).try_cast("timestamp"))
+        .when(t.rlike(_WHOLE), F.timestamp_seconds(t.try_cast("bigint")))
+        .when(t.rlike(pattern), _epoch(t, pattern))
+        .otherwise(read_iso(t))
+    )
+
+
 def parse_time(t: Column) -> Column:
     """ISO text or epoch seconds of 9 to 11 digits, with or without a fraction (stripped), to
     timestamp; anything else is NULL."""
-    epoch = r"^\d{9,11}(?:\.\d+)?$"
-    return F.when(t.rlike(epoch), _epoch(t, epoch)).otherwise(read_iso(t))
+    return _common_first(t, r"^\d{9,11}(?:\.\d+)?$")
 
 
 def parse_update_time(t: Column) -> Column:
     """As :func:`parse_time`, but epoch seconds may have any number of digits."""
-    epoch = r"^\d+(?:\.\d+)?$"
-    return F.when(t.rlike(epoch), _epoch(t, epoch)).otherwise(read_iso(t))
+    return _common_first(t, r"^\d+(?:\.\d+)?$")
 
 
 def micros_between(later: Column, earlier: Column) -> Column:

@@ -187,13 +187,15 @@ def apply_checks(records: DataFrame, checks: dict[str, list[Rule]]) -> DataFrame
         failures.append(
             F.when(
                 column.isNotNull(),
-                F.struct(
-                    column.alias("rule"),
-                    severity.alias("severity"),
-                    _by_name(column, rules, [r.detail_column for r in rules]).alias("detail"),
-                    _by_name(column, rules, [r.value for r in rules]).alias("field_value"),
+                F.array(
+                    F.struct(
+                        column.alias("rule"),
+                        severity.alias("severity"),
+                        _by_name(column, rules, [r.detail_column for r in rules]).alias("detail"),
+                        _by_name(column, rules, [r.value for r in rules]).alias("field_value"),
+                    )
                 ),
-            )
+            ).otherwise(F.array())
         )
         counted = [r.name for r in rules if r.severity in (REJECT, FLAG)]
         # Written over the record, not over the check column: a filter on ``is_rejected`` is
@@ -206,7 +208,8 @@ def apply_checks(records: DataFrame, checks: dict[str, list[Rule]]) -> DataFrame
             defects.append(F.coalesce(column.isin(counted), F.lit(False)).cast("int"))
     return checked.withColumns(
         {
-            "failures": F.array_compact(F.array(*failures)),
+            # Joined, not filtered: what a filter of an array takes is interpreted.
+            "failures": F.concat(*failures),
             "is_rejected": reduce(or_, rejects, F.lit(False)),
             "defect_count": reduce(add, defects, F.lit(0)),
         }

@@ -39,11 +39,13 @@ def _iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def derived_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed records as text, with ``event_id`` and ``ts`` of the event they stand for."""
-    events = read(spark, sf_dir, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
+def derived_feed(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Feed records as text, with ``event_id`` and ``ts`` of the event they stand for; the events dealt out,
+    in their order, to ``parts`` partitions, or left as they are read."""
+    events = read(spark, sf_dir, "events")
+    if parts:
+        events = events.repartitionByRange(parts, "event_id")
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     key, k, u, ts = F.col("event_id"), F.col("k"), F.col("user_id"), F.col("ts")
     kind, even, slot = F.col("event_type"), F.col("k") % 2 == 0, F.col("user_id") % 6
     seconds = F.floor(F.col("value") * 3600 + 0.5)
@@ -141,7 +143,9 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validated_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(standardize(landed(spark, sf_dir), keep=("event_id", "ts")), as_of())
+    """The batch straight from the events: dealt out while they are narrow, and no landing table is written for it."""
+    fed = derived_feed(spark, sf_dir, 2 * spark.sparkContext.defaultParallelism)
+    return validate(standardize(fed, keep=("event_id", "ts")), as_of())
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
