@@ -601,6 +601,31 @@ def test_passages_begin_and_end_with_words_that_match(monkeypatch):
     assert len(looked) == len(found) == 2
 
 
+def test_matches_of_a_repeated_word_are_looked_at_once():
+    """A word repeated in two texts is one region of them, whatever places were matched; matches far apart stay apart."""
+    own, other = np.array([*range(200, 257), 200, 600, 1000]), np.array([90] * 57 + [140, 90, 3000])
+    pair, *ends = passages.regions(np.array([4] * 58 + [4, 9]), own, other)
+    found = sorted(zip(pair.tolist(), *(e.tolist() for e in ends)))
+    r = passages.REACH
+    assert found == [(4, 200 - r, 256 + r, 28, 140 + r), (4, 600 - r, 600 + r, 28, 90 + r), (9, 1000 - r, 1000 + r, 3000 - r, 3000 + r)]
+    # Of links in a row the first and last stay, and none is further from the next than what is looked at about it.
+    at = np.array([*range(100, 200), 300, *range(5)])
+    kept = passages._spread(np.ones(106, np.uint64), np.array([7] * 101 + [8] * 5), at)
+    assert {100, 199, 300, 0, 4} <= set(at[kept].tolist()) and len(kept) < 10
+    assert np.diff(at[kept][at[kept] >= 100]).max() == 101 and passages.SPREAD < r
+
+
+def test_passages_of_one_word_repeated_at_unlike_length():
+    """48 words are alike to 60 of the longer stretch, which has several passages so; texts that hold no passage have none."""
+    own, other = (np.array(t, np.uint16) for t in ([*range(10, 24), *[1] * 48, *range(30, 47)], [*[1] * 110, *range(60, 75)]))
+    for a, b, swap in ((own, other, False), (other, own, True)):
+        found = [(c, d, a, b, e) if swap else (a, b, c, d, e) for a, b, c, d, e in passages.alike(a, b)]
+        assert {w for a, b, *_ in found for w in range(a, b)} == set(range(14, 62))
+        assert {w for _, _, c, d, _ in found for w in range(c, d)} == set(range(110))
+        assert all(e >= passages.SIMILARITY * max(b - a, d - c) and max(b - a, d - c) >= 50 for a, b, c, d, e in found)
+    assert passages.alike(np.array([1] * 39 + [*range(5, 60)], np.uint16), np.array([1] * 120, np.uint16)) == []
+
+
 def test_passages_of_lines_held_elsewhere(spark):
     rng = random.Random(6)
     fresh = iter(range(10**6))
