@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -650,6 +651,44 @@ def test_passages_of_lines_held_elsewhere(spark):
     assert all(r.stop - r.start == 57 and r.equal == 57 for r in got)
 
 
+def test_passages_pack_seeds_alike_whatever_the_buckets():
+    """A seed takes few bytes also where a document has hardly one in each bucket, and comes back as it went."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 1 << 16, 500, dtype=np.uint16) for _ in range(400)]
+    keys = np.arange(400) + (7 << 33)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([w.tobytes() for w in words], pa.binary())], names=["key", "words"])
+    sent = {key: passages.seeds(w) for key, w in zip(keys.tolist(), words)}
+    for n in (40, 4000):
+        rows = [r for b in passages._filed(n)(iter([batch])) for r in b.to_pylist()]
+        assert sum(len(r["places"]) for r in rows) < 10 * 400 * 497
+        got = {(r["bucket"], *(int(x) for x in place)) for r in rows for place in zip(*passages._unpacked(r["places"])[:3])}
+        assert got == {(int(h) % n, int(h) >> 32, key, at) for key, hs in sent.items() for at, h in enumerate(hs)}
+
+
+def test_passages_of_equal_texts_are_looked_for_once(spark, monkeypatch):
+    """Documents of one text are a class: each is linked with that of the smallest id, which stands for it elsewhere."""
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    shared = new(60)
+    one, two = " ".join(new(20) + shared + new(30)), " ".join(new(5) + shared + new(9))
+    texts = {i: one for i in (3, 5, 7, *range(20, 40))} | {4: two, 6: two, 8: " ".join(new(90)), 9: "too short", 10: "too short"}
+    staged, rows = passages.staged, {}
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "staged", counted)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = passages.repeated_passages(frame).collect()
+    assert {r.doc_id for r in got} == set(texts) - {8, 9, 10}
+    assert {(r.doc_id, r.other_id) for r in got} == {(3, 4), (4, 3), (4, 6), (6, 4)} | {p for i in (5, 7, *range(20, 40)) for p in ((3, i), (i, 3))}
+    assert {(r.start, r.stop, r.other_start, r.other_stop) for r in got if {r.doc_id, r.other_id} == {3, 4}} == {(20, 80, 5, 65), (5, 65, 20, 80)}
+    assert all(r.start == 0 and r.equal == r.stop == r.passage_words for r in got if {r.doc_id, r.other_id} != {3, 4})
+    assert rows["matches"] <= 60 and rows["regions"] == 1
+
+
 def test_chains_against_all_predecessors():
     rng = random.Random(3)
     for _ in range(30):
