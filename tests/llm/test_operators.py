@@ -689,6 +689,36 @@ def test_passages_of_equal_texts_are_looked_for_once(spark, monkeypatch):
     assert rows["matches"] <= 60 and rows["regions"] == 1
 
 
+@pytest.mark.parametrize("holders", [9, 40, 150])
+def test_passages_of_many_changed_holders(spark, holders):
+    """No two of them are lost: up to MOST_LINKED places every pair is named, beyond that all are of one class."""
+    rng = random.Random(holders)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    # A line that as many other texts hold, which is no passage, stands before and in every other passage.
+    line = new(12)
+    texts, groups = {}, []
+    for n in range(2):
+        passage, own = new(24) + line * n + new(36), []
+        for _ in range(holders):
+            picked = rng.sample(range(len(passage)), 5)
+            changed = [new(1)[0] if i in picked else w for i, w in enumerate(passage)]
+            own.append(len(texts))
+            texts[len(texts)] = new(rng.randrange(90)) + line + new(70) + changed + new(20)
+        groups.append(own)
+    for _ in range(holders):
+        texts[len(texts)] = new(30) + line + new(60)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = passages.repeated_passages(frame).collect()
+    classes = [{r.class_id for r in got if r.doc_id in own} for own in groups]
+    assert {r.doc_id for r in got} == {i for own in groups for i in own}
+    assert [len(c) for c in classes] == [1, 1] and classes[0] != classes[1]
+    if holders <= passages.MOST_LINKED:
+        pairs = {frozenset((r.doc_id, r.other_id)) for r in got}
+        alike = {frozenset(p) for own in groups for p in itertools.combinations(own, 2)}
+        assert pairs <= alike and len(pairs) > 0.99 * len(alike)
+
+
 def test_chains_against_all_predecessors():
     rng = random.Random(3)
     for _ in range(30):
