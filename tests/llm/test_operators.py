@@ -8,6 +8,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -719,6 +720,39 @@ def test_passages_of_many_changed_holders(spark, holders):
         assert pairs <= alike and len(pairs) > 0.99 * len(alike)
 
 
+def test_passages_sketches_rule_out_no_passage(spark):
+    """Words go to the last join for few regions, all that hold a passage among them; shuffle files go with each write."""
+    rng = np.random.default_rng(2)
+    rows, alike = [], []
+    for n in range(120):
+        own, other = (rng.integers(0, 1 << 16, rng.integers(60, 180), dtype=np.uint16) for _ in range(2))
+        if n % 3 == 0:
+            shared = rng.integers(0, 1 << 16, 50, dtype=np.uint16)
+            own = np.concatenate((own[:30], shared, own[30:]))
+            shared[rng.permutation(np.arange(1, 49))[:10]] = 7
+            other = np.concatenate((other[:9], shared, other[9:]))
+        alike.append(bool(passages.alike(own, other)))
+        rows.append((n, 0, 0, len(own), 0, other.tobytes(), own.tobytes()))
+    assert sum(alike) == 40
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list("abcdefg"))
+    sketches = pa.array(passages._sketched.func(batch.column(6).to_pandas()))
+    (got,) = passages._fitting(iter([batch.set_column(6, "g", sketches)]))
+    assert {n for n in range(120) if alike[n]} <= set(got.column(0).to_pylist()) and got.num_rows < 60
+    before = spark.conf.get(passages._FREES)
+    passages.repeated_passages(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert spark.conf.get(passages._FREES) == before
+
+
+def test_passages_of_long_texts_half_alike():
+    """The longest alike parts of long texts that aren't alike as a whole are found in short time, however many."""
+    rng = np.random.default_rng(4)
+    x = np.cumsum(np.where(np.arange(60_000) % 200 < 60, 1, 2 + (rng.random(60_000) < 0.5)))
+    began = time.time()
+    found = passages.windows(x, x + 5)
+    assert len(found) == 300 and all(e >= passages.SIMILARITY * (b - a) and b - a >= 50 for a, b, c, d, e in found)
+    assert [f[0] for f in found] == sorted(f[0] for f in found) and time.time() - began < 30
+
+
 def test_chains_against_all_predecessors():
     rng = random.Random(3)
     for _ in range(30):
